@@ -105,7 +105,7 @@ select file_a, file_b from both_have join sizes x on x.file_id = file_a join siz
     "p10_found": _SHARED + "select doc_id, span_start, span_end from spans",
     "p10_shares": _SHARED
     + """, total as (select doc_id, sum(span_end - span_start)::bigint as n from spans group by 1)
-select d.doc_id, d.n_chars, coalesce(n, 0)::bigint as n_shared, case when d.n_chars > 0 then round(n / d.n_chars, 6) else 0.0 end as share
+select d.doc_id, d.n_chars, coalesce(n, 0)::bigint as n_shared, case when d.n_chars > 0 then round(coalesce(n, 0) / d.n_chars, 6) else 0.0 end as share
 from (select distinct doc_id, n_chars from documents) d left join total using (doc_id)""",
     "p1_found": r"""
 with files as (
