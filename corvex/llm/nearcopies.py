@@ -1,9 +1,10 @@
 """Groups of texts whose sets of word runs overlap, without comparing every text with every other.
 
 Texts with the same set form a class. Tokens (hashed word runs) have one global order: the rare ones by hash, then the
-frequent ones by rising document frequency. The smallest token that two similar sets share lies in the prefix of both.
-If it is rare, both classes are found under it; if it is frequent, so is all that they share, and the prefix, longer by
-one, holds at least two shared tokens: frequent tokens are indexed as pairs. Candidates are then verified exactly.
+frequent ones by rising document frequency. The first ``SHARED`` tokens that two similar sets share lie in the prefixes
+of both, which are that much longer than for one token. If one of the two prefixes has rare tokens alone, these are all
+rare, and both classes meet under each of them: pairs that meet less often aren't candidates. Else one rare token is
+enough, or, if all they share is frequent, two frequent ones: these are indexed as pairs. Candidates are verified exactly.
 
 Frequencies are counted over all texts. Any consistent order gives the same result, so the table of frequent tokens that
 the second pass needs can be bounded: at most ``FREQUENT_TOKENS``, the most frequent ones.
@@ -25,9 +26,10 @@ from corvex.shared import written
 
 FREQUENT_DF = 24  # a token in at least so many texts counts as frequent
 FREQUENT_TOKENS = 1 << 17  # at most so many do: what each executor gets is 1 MB
+SHARED = 4  # shared tokens that the prefixes are long enough for
+BLOOM_BITS = 1 << 23  # of the filter for the texts whose sets are asked for: 1 MB, whatever their number
 BLOCK_BYTES = 1_000_000
 FLUSH_TOKENS = 1_500_000
-_ONE = pa.array([0])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int, least_words: int) -> Iterator[tuple[list, list[np.ndarray]]]:
@@ -106,26 +108,47 @@ def frequent_tokens(texts: DataFrame, width: int, least_words: int) -> tuple[np.
     return token[by_token], (len(token) - by_token).astype(np.int64)
 
 
-def prefix_keys(tokens: np.ndarray, share: float, frequent: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """What a set is indexed under: the rare tokens of its prefix, and pairs of the frequent ones of the longer prefix."""
+def _least(n: int, share: float) -> int:
+    return max(1, int(np.ceil(share * n - 1e-9)))
+
+
+def prefix_keys(tokens: np.ndarray, share: float, frequent: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, int, bool]:
+    """What a set is indexed under: the rare tokens of its prefix, and pairs of the frequent ones; how many of these keys
+    are rare tokens; and whether the prefix has rare tokens alone."""
     n = len(tokens)
-    needed = max(1, int(np.ceil(share * n - 1e-9)))
-    prefix = n - needed + 1
+    needed = _least(n, share)
+    if n == 1:
+        return tokens, 0, False
+    prefix = n - needed + min(SHARED, needed)
+    high = tokens >> np.uint64(32)
     if len(frequent):
-        high = tokens >> np.uint64(32)
         at = np.minimum(np.searchsorted(frequent, high), len(frequent) - 1)
         often = frequent[at] == high
     else:
         often = np.zeros(n, bool)
     rare = tokens[~often]
-    if len(rare) >= prefix or n == 1:
-        return tokens if n == 1 else rare[:prefix]
+    if len(rare) >= prefix:
+        return rare[:prefix], prefix, True
     f = tokens[often]
-    f = f[np.lexsort((f, order[at[often]]))][: prefix + 1 - len(rare)]
+    # For pairs the prefix that holds two shared tokens will do.
+    f = f[np.lexsort((f, order[at[often]]))][: max(0, n - needed + 2 - len(rare))]
     i, j = np.triu_indices(len(f), 1)
     with np.errstate(over="ignore"):
         pairs = mix(f[i] * np.uint64(0xD6E8FEB86659FD93) + f[j])
-    return np.concatenate([rare, pairs])
+    return np.concatenate([rare, pairs]), len(rare), False
+
+
+def _class(tokens: np.ndarray) -> int:
+    return int(np.bitwise_xor.reduce(mix(tokens + np.uint64(1)))) ^ int(tokens.sum(dtype=np.uint64))
+
+
+def _bloom(keys: DataFrame, key: str) -> np.ndarray:
+    """A Bloom filter of BLOOM_BITS bits; at most BLOOM_BITS / 64 rows reach the driver."""
+    bits = F.explode(F.array(*(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(BLOOM_BITS)) for seed in (1, 2))))
+    words = keys.select(bits.alias("b")).select((F.col("b") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(b % 64 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    got, out = words.toPandas(), np.zeros(BLOOM_BITS // 64, np.int64)
+    out[got["w"].to_numpy()] = got["b"].to_numpy()
+    return out
 
 
 def similar_classes(df: DataFrame, key: str, text: str, share: float = 0.7, width: int = 3, least_words: int = 40) -> tuple[DataFrame, DataFrame]:
@@ -144,35 +167,50 @@ def similar_classes(df: DataFrame, key: str, text: str, share: float = 0.7, widt
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, order = table.value
         for keys, sets in _sets(batches, width, least_words):
-            found = [prefix_keys(s, share, frequent, order).view(np.int64) for s in sets]
-            ends = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
-            same = [int(np.bitwise_xor.reduce(mix(s + np.uint64(1)))) ^ int(s.sum(dtype=np.uint64)) for s in sets]
+            found = [prefix_keys(s, share, frequent, order) for s in sets]
+            ends = np.concatenate([[0], np.cumsum([len(f) for f, _, _ in found])]).astype(np.int32)
+            tokens = np.concatenate([f for f, _, _ in found]) if found else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(keys, arrow_key),
-                    pa.array(np.array(same, np.uint64).view(np.int64)),
+                    pa.array(np.array([_class(s) for s in sets], np.uint64).view(np.int64)),
                     pa.array([len(s) for s in sets], pa.int32()),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))),
+                    pa.array([m for _, m, _ in found], pa.int32()),
+                    pa.array([pure for _, _, pure in found], pa.bool_()),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens.view(np.int64))),
                 ],
-                names=["_k", "cls", "n", "keys"],
+                names=["_k", "cls", "n", "rare", "pure", "keys"],
             )
 
-    indexed = written(texts.mapInArrow(index, f"_k {kind}, cls long, n int, keys array<long>"), "prefixes")
+    indexed = written(texts.mapInArrow(index, f"_k {kind}, cls long, n int, rare int, pure boolean, keys array<long>"), "prefixes")
     members = indexed.select("_k", "cls").distinct()
-    posted = indexed.select("cls", "n", F.explode("keys").alias("token")).repartition("token").dropDuplicates(["token", "cls"])
-    a, b = posted.toDF("cls_a", "n_a", "token"), posted.toDF("cls_b", "n_b", "token")
-    fits = (F.col("n_a") >= share * F.col("n_b") - 1e-9) & (F.col("n_b") >= share * F.col("n_a") - 1e-9)
-    pairs = written(a.join(b, "token").where(F.col("cls_a") < F.col("cls_b")).where(fits).select("cls_a", "cls_b").distinct(), "candidates")
-
-    # One text of each class that has a candidate brings its set.
+    # One number for a posting's size and kind: 2n, and 1 more where a single meeting is enough.
+    posted = indexed.select("cls", "n", "rare", "pure", F.posexplode("keys").alias("i", "token"))
+    posted = posted.select("cls", "token", (F.col("n") * 4 + F.when(F.col("i") >= F.col("rare"), 2).when(F.col("pure"), 0).otherwise(1)).alias("s")).repartition("token").dropDuplicates(["token", "cls"])
+    a, b = posted.toDF("cls_a", "token", "s_a"), posted.toDF("cls_b", "token", "s_b")
+    n_a, n_b = F.expr("s_a div 4"), F.expr("s_b div 4")
+    fits = (n_a >= share * n_b - 1e-9) & (n_b >= share * n_a - 1e-9)
+    needed = F.least(F.lit(SHARED), F.greatest(F.lit(1), F.ceil(share * F.least(n_a, n_b) - 1e-9)))
+    enough = F.when((F.col("s_a") % 4 > 0) & (F.col("s_b") % 4 > 0), 1).otherwise(needed)
+    met = a.join(b, "token").where(F.col("cls_a") < F.col("cls_b")).where(fits).select("cls_a", "cls_b", enough.cast("int").alias("e"))
+    pairs = written(met.groupBy("cls_a", "cls_b").agg(F.count("*").alias("m"), F.min("e").alias("e")).where("m >= e").select("cls_a", "cls_b"), "candidates")
+
+    # One text of each class that has a candidate brings its set; a few others that pass the filter do no harm.
     asked = pairs.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).distinct()
-    asked = indexed.select("_k", "cls").join(asked, "cls").groupBy("cls").agg(F.min("_k").alias("_r"))
+    asked = members.join(asked, "cls").groupBy("cls").agg(F.min("_k").alias("_r"))
+    bloom = spark.sparkContext.broadcast(_bloom(asked, "_r"))
+    places = F.array(*(F.pmod(F.xxhash64(F.lit(seed), F.col("_k")), F.lit(BLOOM_BITS)) for seed in (1, 2)))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, sets in _sets(batches, width, least_words):
-            yield pa.RecordBatch.from_arrays([pa.array(keys, arrow_key), pa.array([_packed(s >> np.uint64(24)) for s in sets], pa.binary())], names=["_k", "tokens"])
+        def asked_for(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = batch.column(2).flatten().to_numpy().reshape(-1, 2)
+                yield batch.filter(pa.array((bloom.value[at >> 6] >> (at & 63) & 1).all(axis=1)))
+
+        for _, sets in _sets(asked_for(batches), width, least_words):
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([_class(s) for s in sets], np.uint64).view(np.int64)), pa.array([_packed(s >> np.uint64(24)) for s in sets], pa.binary())], names=["cls", "tokens"])
 
-    sets = written(texts.mapInArrow(sets_of, f"_k {kind}, tokens binary").join(asked, F.col("_k") == F.col("_r")).select("cls", "tokens"), "sets")
+    sets = written(texts.select("_k", "_t", places.alias("_at")).mapInArrow(sets_of, "cls long, tokens binary"), "sets")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
