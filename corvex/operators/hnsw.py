@@ -101,8 +101,8 @@ class Layered:
 def with_shards(vectors: DataFrame, id: str, vector: str, index: str | None) -> DataFrame:
     """(shard, _id, _v): each index's vectors over as many shards as its number of rows asks for."""
     rows = vectors.where(F.col(vector).isNotNull() & F.col(id).isNotNull()).select(F.col(id).cast("long").alias("_id"), F.col(vector).alias("_v"), (F.col(index).cast("string") if index else F.lit("")).alias("_x"))
-    parts = rows.groupBy("_x").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("_parts"))
-    return rows.join(parts, F.col("_x").eqNullSafe(parts["_x"])).select(F.concat_ws("#", rows["_x"], F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("string")).alias("shard"), "_id", "_v")
+    parts = rows.groupBy(F.col("_x").alias("_y")).agg(F.ceil(F.count("*") / SHARD).cast("int").alias("_parts"))
+    return rows.join(parts, F.col("_x").eqNullSafe(F.col("_y"))).select(F.concat_ws("#", "_x", F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("string")).alias("shard"), "_id", "_v")
 
 
 def build_layered(vectors: DataFrame, config: HnswConfig | None = None, id: str = "vec_id", vector: str = "embedding", index: str | None = None) -> DataFrame:
@@ -135,12 +135,9 @@ def search_layered(graph: DataFrame, queries: DataFrame, k: int = 10, ef: int =
     config = config or HnswConfig()
     asked = queries.where("q_id is not null and q_vec is not null").select("q_id", "q_vec")
     parts = max(1, ceil(asked.count() / BLOCK))
-    near = None
-    for part in range(parts):
-        rows = asked.where(F.pmod(F.xxhash64("q_id"), F.lit(parts)) == part).orderBy("q_id").collect()  # about BLOCK rows
-        held = graph.sparkSession.sparkContext.broadcast([(r["q_id"], np.array(r["q_vec"], dtype=np.float64)) for r in rows])
 
-        def answer(nodes: pd.DataFrame, held=held) -> pd.DataFrame:
+    def answering(held):
+        def answer(nodes: pd.DataFrame) -> pd.DataFrame:
             g = Layered(config)
             nodes = nodes.sort_values("id").reset_index(drop=True)
             g.ids, g.levels = nodes["id"].tolist(), nodes["level"].tolist()
@@ -155,7 +152,13 @@ def search_layered(graph: DataFrame, queries: DataFrame, k: int = 10, ef: int =
                 out += [(q, i, d) for i, d in g.search(v, k, ef)]
             return pd.DataFrame(out, columns=["q_id", "id", "distance"]).astype({"q_id": "int64", "id": "int64", "distance": "float64"})
 
-        found = graph.groupBy("shard").applyInPandas(answer, "q_id long, id long, distance double")
+        return answer
+
+    near = None
+    for part in range(parts):
+        rows = asked.where(F.pmod(F.xxhash64("q_id"), F.lit(parts)) == part).orderBy("q_id").collect()  # about BLOCK rows
+        held = graph.sparkSession.sparkContext.broadcast([(r["q_id"], np.array(r["q_vec"], dtype=np.float64)) for r in rows])
+        found = graph.groupBy("shard").applyInPandas(answering(held), "q_id long, id long, distance double")
         near = found if near is None else near.unionByName(found)
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("q_id").orderBy("distance", "id"))).where(f"rank <= {k}")
 
