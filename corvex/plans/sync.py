@@ -77,7 +77,7 @@ def remove_from_workspace(workspaces: DataFrame, name: str, full_name: str) -> D
 def debounced(events: DataFrame, key: str, at: str, seconds: int) -> DataFrame:
     """(``key``, started, last_event, n_events): bursts of events less than ``seconds`` apart; each fires once, that long
     after its last event. A gap of exactly ``seconds`` ends a burst."""
-    w = F.session_window(F.col(at), f"{seconds} seconds")
+    w = F.session_window(F.col(at), f"{seconds * 1_000_000 - 1} microseconds")  # windows that touch are merged
     return events.where(F.col(key).isNotNull() & F.col(at).isNotNull()).groupBy(key, w).agg(F.min(at).alias("started"), F.max(at).alias("last_event"), F.count("*").alias("n_events")).drop("session_window")
 
 

@@ -25,7 +25,7 @@ def pushes(events: DataFrame, event_type: str = "event_type") -> DataFrame:
 def debounced(events: DataFrame, key: str, at: str, seconds: int, watermark: str = WATERMARK) -> DataFrame:
     """Bursts as in the batch form; in append mode a burst comes out once the watermark has passed its end."""
     stamped = events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, watermark)
-    w = F.session_window(F.col(at), f"{seconds} seconds")
+    w = F.session_window(F.col(at), f"{seconds * 1_000_000 - 1} microseconds")  # windows that touch are merged
     return stamped.groupBy(key, w).agg(F.min(at).alias("started"), F.max(at).alias("last_event"), F.count("*").alias("n_events")).drop("session_window")
 
 
