@@ -37,7 +37,7 @@ _COMMENT = r"^[\s﻿]*(?:\#+|//+[!/]?|--+|/\*+!?|\*+|<!--+|;+|%+|\"\"\"|''')[ \t
 _GENERATED = re.compile(
     _COMMENT
     + r"""(?:.{0,200}?\bcode\ generated\b.{0,200}?do\ not\ edit | .{0,200}?\bauto(?:matically)?[- ]?generated\b(?!\s+(?:rows?|reports?)) | @generated\b | .{0,80}?\bmachine[- ]generated\b
-    | .{0,80}?\bgenerated\ (?:by|from|with|using)\b.{0,200}?(?:do\ not|don't|never)\ (?:edit|modify|change|touch) | .{0,200}?(?:do\ not|don't)\ (?:edit|modify)[^;]{0,40}?\bgenerated\b
+    | .{0,80}?\bgenerated\ (?:by|from|with|using)\b.{0,200}?(?:do\ not|don't|never)\ (?:edit|modify|change|touch) | .{0,200}?(?:do\ not|don't)\ (?:edit|modify)[^;\r\n]{0,40}?\bgenerated\b
     | <auto-?generated> | automatisch\ (?:erzeugt|generiert) | généré\ automatiquement | generado\ automáticamente )""",
     re.I | re.M | re.X,
 )
@@ -77,8 +77,7 @@ def composition(text: str) -> str | None:
     numbers = sum(map(len, _DIGITS.findall(body))) + sum(len(x) for x in _HEX.findall(body) if not x.isdigit())
     if numbers > 0.3 * size:
         return "data"
-    uniform = _uniform(lines, 0.8)
-    if len(lines) >= 8 and (uniform and _uniform(lines, 0.88) or numbers > 0.15 * size and uniform):
+    if len(lines) >= 8 and numbers > 0.1 * size and _uniform(lines, 0.82):
         return "data"
     spaces = body.count(" ") + body.count("\t")
     longest = max(map(len, lines))

@@ -112,12 +112,20 @@ def extension(path: Column) -> Column:
     return F.when(F.regexp_extract(path, r"([^/]*)$", 1).contains("."), F.lower(F.regexp_extract(path, r"\.([^./]*)$", 1)))
 
 
-def with_limits(files: DataFrame, limits: DataFrame, path: str = "path") -> DataFrame:
-    """Adds ``_max`` and ``_overlap`` of the file's extension, else of ``*``. ``limits`` is a settings table of one row
-    for each extension; it is joined by a broadcast only below Spark's own threshold."""
+def with_limits(files: DataFrame, limits: DataFrame, key: str = "file_id", text: str = "content", path: str = "path") -> DataFrame:
+    """(``key``, ``text``, _max, _overlap) with the limits of the file's extension, else of ``*``, else null.
+
+    ``limits`` is a settings table of one row for each extension; Spark broadcasts it below its own threshold. Other
+    columns of ``files`` are dropped, so their names don't matter; a null path has no extension.
+    """
     limits = limits.where("extension is not null").groupBy(F.lower("extension").alias("_ext")).agg(F.max(F.struct("max_chars", "overlap_chars")).alias("_lim"))
-    rest = limits.where("_ext = '*'").select(F.col("_lim").alias("_any"))
-    joined = files.withColumn("_ext", extension(F.col(path))).join(limits.where("_ext <> '*'"), "_ext", "left")
-    fallback = rest.first()  # one row
-    most, over = (fallback["_any"]["max_chars"], fallback["_any"]["overlap_chars"]) if fallback else (None, None)
-    return joined.withColumn("_max", F.coalesce("_lim.max_chars", F.lit(most).cast("int"))).withColumn("_overlap", F.coalesce("_lim.overlap_chars", F.lit(over).cast("int"))).drop("_lim", "_ext")
+    rest = limits.where("_ext = '*'").select("_lim.max_chars", "_lim.overlap_chars").first()  # one row
+    most, over = rest or (None, None)
+    rows = files.select(files[key].alias("_key"), files[text].alias("_text"), extension(files[path]).alias("_e"))
+    joined = rows.join(limits.where("_ext <> '*'"), F.col("_e") == F.col("_ext"), "left")
+    return joined.select(
+        F.col("_key").alias(key),
+        F.col("_text").alias(text),
+        F.coalesce("_lim.max_chars", F.lit(most).cast("int")).alias("_max"),
+        F.when(F.col("_lim").isNotNull(), F.col("_lim.overlap_chars")).otherwise(F.lit(over).cast("int")).alias("_overlap"),
+    )
