@@ -235,7 +235,7 @@ def test_not_handwritten(spark):
         (4, "github/o/r", "third_party/l/lib.c", lib, "third_party"), (5, "gitlab/p/q", "src/moved/lib.c", edited, "third_party"),
         (6, "gitlab/p/q", "src/x.c", numbers, "data"), (7, "github/o/r", "src/app.min.js", "x", "tool_output"),
         (8, "github/o/r", "src/app.js", "!function(a){b.c=d(5)}(e);var f=g||{},h=1;" * 40, "minified"), (9, "gitlab/p/q", "src/fork.py", "# Copyright (c) the o contributors. All rights reserved.\n" + hand, None),
-        (10, "gitlab/p/q", "src/z.py", "# Copyright (c) the zlib contributors. All rights reserved.\n" + hand.replace("f", "g"), "third_party"), (11, "github/o/r", "src/logo.svg", numbers, "unlisted"),
+        (10, "gitlab/p/q", "src/z.py", "# Copyright (c) the zlib contributors. All rights reserved.\n" + hand.replace("f", "g").replace("other_", "their_"), "third_party"), (11, "github/o/r", "src/logo.svg", numbers, "unlisted"),
         (12, "github/o/r", None, hand, None), (13, "github/o/r", "src/e.py", None, None), (14, None, "src/e.py", hand, None), (15, "github/o/r", "vendor_portal/e.py", hand, None), (1, "github/o/r", "src/a.py", hand, None),
     ]
     files = spark.createDataFrame([r[:4] for r in rows], "file_id long, index_name string, path string, content string").withColumn("name", F.lit("clash")).withColumn("line", F.lit(1))
