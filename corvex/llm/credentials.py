@@ -29,7 +29,8 @@ _PLACEHOLDER = re.compile(
 )
 
 _STRING = r"""(?:[bBrRuUfF@$]{0,2})(?P<q>\"\"\"|'''|["'`])(?P<v>[^\r\n]*?)(?<!\\)(?P=q)"""
-_WRAP = r"(?:(?:[A-Za-z_][\w:.]*\(|new\s+[\w.]+\()\s*)?"
+# Only what wraps a literal; os.Getenv("NAME") and the like are references.
+_WRAP = r"(?:(?:new\s+)?(?:[\w.:]*(?:[Ss]tring|SecretStr|Secret|[Bb]ytes|Buffer\.from|Some|String::from)|str|S|Text|literal)\(\s*)?"
 _TYPE = r"(?:\s*:\s*&?\s*(?:'static\s+)?(?:mut\s+)?[A-Za-z_][\w:<>?\[\]]*(?=\s*=))?"
 _ASSIGNED = re.compile(rf"""(?P<k>[A-Za-z_$][\w$-]*)["'`]?\]?{_TYPE}\s*(?:=>|:=|\?\?=|=(?!=)|:(?!:))\s*{_WRAP}{_STRING}""")
 _LISTED = re.compile(rf"""["'`:](?P<k>[A-Za-z_$][\w$.-]*)["'`]?\s*,\s*{_WRAP}{_STRING}""")
@@ -101,11 +102,19 @@ def key_kind(key: str) -> str | None:
     return "maybe" if last in ("token", "key", "credential", "credentials", "auth") and before is not None else None
 
 
+_CHANGE = re.compile(r"(?<=[a-z])(?=[A-Z0-9])|(?<=[A-Z])(?=[a-z0-9])|(?<=[0-9])(?=[A-Za-z])")
+
+
+def scrambled(value: str) -> bool:
+    """Long, and changing between lower case, upper case and digits far more often than names do."""
+    return len(value) >= 16 and re.fullmatch(r"[A-Za-z0-9+/_=-]+", value) is not None and 4 * len(_CHANGE.findall(value)) >= len(value)
+
+
 def random_shape(value: str) -> bool:
-    """Long, without the structure of words: letters of both cases or hex, with digits."""
+    """Long, without the structure of words: letters of both cases, with digits."""
     if len(value) < 16 or not re.fullmatch(r"[A-Za-z0-9+/_=-]+", value) or not re.search(r"\d", value):
         return False
-    return bool(re.search(r"[a-z]", value) and re.search(r"[A-Z]", value)) and not re.search(r"[a-z]{9}", value)
+    return scrambled(value) or bool(re.search(r"[a-z]", value) and re.search(r"[A-Z]", value)) and not re.search(r"[a-z]{9}", value)
 
 
 def _credential(kind: str | None, value: str, quoted: bool) -> bool:
@@ -116,7 +125,7 @@ def _credential(kind: str | None, value: str, quoted: bool) -> bool:
     if kind == "maybe":
         return random_shape(value)
     # Unquoted, it may be an expression: a credential has no brackets, and is no plain word, name or number.
-    return quoted or not re.search(r"[()\[\]{}<>]|^[&*]", value) and not re.fullmatch(r"[A-Za-z_]+(?:\.[A-Za-z_]\w*)*[;,]?|\d{1,8}[;,]?|[a-z_]+[A-Z]\w*;?|\w*_\w*(?:[.;]\w*)*", value) or not quoted and random_shape(value)
+    return quoted or not re.search(r"[()\[\]{}<>]|^[&*]", value) and not re.fullmatch(r"[A-Za-z_]+(?:\.[A-Za-z_]\w*)*[;,]?|\d{1,8}[;,]?|[a-z_]+[A-Z]\w*;?|\w*_\w*(?:[.;]\w*)*", value) or scrambled(value)
 
 
 def _line_findings(line: str) -> Iterator[tuple[int, int]]:
