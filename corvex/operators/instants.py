@@ -165,4 +165,7 @@ def normalise_instants(rows: DataFrame, key: str, raw: str, host: str, zones: Da
     new = values if known is None else values.join(known, keys, "left_anti")
     _parsed(new).write.mode("append").parquet(path)
     spark.catalog.refreshByPath(path)
-    return rows.join(held(), keys, "left").select(F.col("_k").alias(key), "raw", "utc_us")
+    # Rows without a string need no join; as one key they would all meet in one task.
+    found = rows.where("raw is not null").join(held(), keys, "left").select("_k", "raw", "utc_us")
+    none = rows.where("raw is null").select("_k", "raw", F.lit(None).cast("long").alias("utc_us"))
+    return found.unionByName(none).select(F.col("_k").alias(key), "raw", "utc_us")
