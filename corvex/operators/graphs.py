@@ -145,3 +145,36 @@ def reachable(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
 
 def degree_cap(n: int, percentile: float) -> int:
     return max(1, ceil(n * percentile))
+
+
+def offsets(rows: DataFrame, block: int = 4096) -> DataFrame:
+    """Adds ``offset``, where a node's neighbours begin in the flat list of all, by node_id.
+
+    Running sums over blocks of ids and within each block: no window goes over the whole graph, only over one row for
+    each block.
+    """
+    rows = rows.withColumn("_b", F.floor(F.col("node_id") / block))
+    sums = rows.groupBy("_b").agg(F.sum("degree").alias("_s"))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_at"))
+    inner = Window.partitionBy("_b").orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.join(starts, "_b").withColumn("offset", (F.col("_at") + F.coalesce(F.sum("degree").over(inner), F.lit(0))).cast("long")).drop("_b", "_at")
+
+
+def neighbors_of(rows: DataFrame, id: int) -> list[int] | None:
+    """The neighbours of a node, None if there is no such node."""
+    row = rows.where(F.col("node_id") == id).select("neighbors").first()
+    return None if row is None else list(row[0])
+
+
+def with_neighbors(rows: DataFrame, id: int, neighbors: list[int]) -> DataFrame:
+    """The graph with one node's list replaced; an unknown node changes nothing."""
+    new = F.array(*(F.lit(int(n)) for n in neighbors)).cast("array<bigint>")
+    hit = F.col("node_id") == id
+    return rows.withColumn("neighbors", F.when(hit, new).otherwise(F.col("neighbors"))).withColumn("degree", F.when(hit, len(neighbors)).otherwise(F.col("degree")))
+
+
+def with_node(rows: DataFrame, id: int, neighbors: list[int]) -> DataFrame:
+    """The graph with one more node, in place of one of the same id."""
+    new = rows.sparkSession.createDataFrame([(id, neighbors, len(neighbors))], "node_id long, neighbors array<bigint>, degree int")
+    return rows.where(F.col("node_id") != id).select("node_id", "neighbors", "degree").unionByName(new)

@@ -169,6 +169,17 @@ def service_search_hits(spark, d):
     return knn.hits(top, files, id="node_id").withColumn("score", _r(F.col("score")))
 
 
+@query(
+    f"""with {_NODE_PAIRS}, best as (select q_id, b.index_name, path, content, round(1 - dist, 6) as score from (select *, row_number() over (partition by q_id order by round(dist, 9), node_id) as r from pairs) b
+  join (select distinct file_id, path, content from stored_files) f on f.file_id = b.node_id where r <= 10),
+r as (select *, row_number() over (partition by q_id order by score desc, index_name, path) as i from best)
+select q_id, string_agg('[' || coalesce(index_name, '') || '] ' || coalesce(path, '') || chr(10) || coalesce(left(content, 200), ''), chr(10) || chr(10) order by i) as context from r where i <= 5 group by 1"""
+)
+def agent_context(spark, d):
+    """The five best hits of each query as the context of a prompt."""
+    return knn.context(service_search_hits(spark, d))
+
+
 @query("select 'idx_' || label as index_name, count(*) as n_vectors from embeddings group by 1")
 def index_vector_counts(spark, d):
     return _vectors(spark, d).groupBy("index_name").agg(F.count("*").alias("n_vectors"))
@@ -208,6 +219,11 @@ def graph_adjacency(spark, d):
     return graphs.adjacency(_edges(spark, d))
 
 
+@query(f"with {_EDGES}, d as (select src as node_id, count(*)::int as degree from edges group by 1) select node_id, degree, (sum(degree) over (order by node_id) - degree)::bigint as \"offset\" from d")
+def graph_csr_offsets(spark, d):
+    return graphs.offsets(graphs.adjacency(_edges(spark, d)).drop("neighbors"))
+
+
 @query(f"with {_EDGES}, n as (select count(distinct node_id) as n from hnsw_nodes), e as (select count(*) as e from edges) select (8 * (n + 1 + e + n + n))::bigint as n_bytes from n, e")
 def graph_storage_bytes(spark, d):
     n, e = table(spark, d, "hnsw_nodes").select("node_id").distinct().count(), _edges(spark, d)
@@ -309,6 +325,16 @@ def graph_beam_search(spark, d):
     return out.withColumn("distance", _r(F.col("distance")))
 
 
+@query(
+    f"""with {_WEIGHTED}, deg as (select src, count(*) as n from weighted group by 1), hubs as (select src from deg where n >= 6)
+select src, dst, round(dist, 6) as dist from (select w.*, row_number() over (partition by src order by dist, dst) as r, src in (select src from hubs) as hub from weighted w) where r <= case when hub then 6 else 3 end"""
+)
+def degree_cap(spark, d):
+    """Nodes of at least six links keep six, the others three."""
+    w = _weighted(spark, d)
+    return graphs.by_degree(w, graphs.degrees(w).where("degree >= 6"), 6, 3).withColumn("dist", _r(F.col("dist")))
+
+
 # Product quantization.
 _PQ = QuantizerConfig(subquantizers=8, centroids=16, iterations=10, seed=1)
 _BOOK = "book as (select s::int as sq, (c - 1)::int as code, list_transform(embedding[s * 8 + 1:s * 8 + 8], lambda x: x::double) as centroid from (select embedding, row_number() over (order by vec_id) as c from embeddings), range(8) t(s) where c <= 16)"
@@ -508,6 +534,19 @@ def latest_commits(spark, d):
     return rows.groupBy(F.col("repository.full_name").alias("repo_key")).agg(F.max_by("after", F.struct(F.coalesce("sent_at", F.lit(0).cast("timestamp")), "event_id")).alias("after"))
 
 
+@query(
+    """select name, repository.default_branch as default_branch, case lower(repository.provider) when 'github' then 'github' when 'gh' then 'github' when 'gitlab' then 'gitlab' when 'gl' then 'gitlab' when 'bitbucket' then 'bitbucket' when 'bb' then 'bitbucket'
+when 'gitea' then 'gitea' when 'forgejo' then 'gitea' when 'gogs' then 'gitea' end as provider from index_catalog where repository is not null"""
+)
+def repository_branches(spark, d):
+    return table(spark, d, "index_catalog").where("repository is not null").select("name", F.col("repository.default_branch").alias("default_branch"), repositories.provider_of(F.col("repository.provider")).alias("provider"))
+
+
+@query("select event_id, event_type, (props::json->>'k')::bigint as k from events where event_type in ('click', 'view')")
+def event_fields(spark, d):
+    return table(spark, d, "events").where(F.col("event_type").isin("click", "view")).select("event_id", "event_type", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
 # Catalogue and sync.
 @query("select count(*) as n_indexes, coalesce(sum(file_count), 0)::bigint as n_files, coalesce(sum(size_bytes), 0)::bigint as n_bytes from index_catalog")
 def catalogue_totals(spark, d):

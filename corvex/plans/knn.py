@@ -169,3 +169,11 @@ def vector_of(vectors: DataFrame, key: int, id: str = "vec_id", vector: str = "e
 
 def order_by(columns: Sequence[Column | str], k: int, df: DataFrame) -> DataFrame:
     return df.orderBy(*columns).limit(k)
+
+
+def context(hit_rows: DataFrame, most: int = 5, chars: int = 1000) -> DataFrame:
+    """(q_id, context): the best hits of each query as one text for a prompt, each with its place and a cut of its snippet."""
+    rank = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("score"), "index", "path"))
+    line = F.concat(F.lit("["), F.coalesce("index", F.lit("")), F.lit("] "), F.coalesce("path", F.lit("")), F.lit("\n"), F.coalesce(F.left("snippet", F.lit(chars)), F.lit("")))
+    rows = hit_rows.withColumn("_r", rank).where(F.col("_r") <= most).groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct("_r", line.alias("t")))).alias("l"))
+    return rows.select("q_id", F.array_join(F.transform("l", lambda x: x["t"]), "\n\n").alias("context"))

@@ -51,6 +51,12 @@ def test_graph_tables(spark):
     assert tuple(graphs.entry_point(nodes).first()) == (2, 1)
     assert graphs.entry_point(nodes.limit(0)).count() == 0
     assert {r.node_id: r.hop for r in graphs.reachable(flat, nodes.where("node_id = 2"), 3).collect()} == {2: 0, 0: 1, 1: 1}
+    rows = graphs.adjacency(flat)
+    assert graphs.neighbors_of(rows, 2) == [0, 1] and graphs.neighbors_of(rows, 999) is None
+    assert graphs.neighbors_of(graphs.with_neighbors(rows, 2, [5]), 2) == [5]
+    assert graphs.with_neighbors(rows, 999, [5]).exceptAll(rows).count() == 0
+    more = graphs.with_node(rows, 7, [1, 2])
+    assert {r.node_id: r.offset for r in graphs.offsets(more, block=2).collect()} == {1: 0, 2: 1, 7: 3}
     n = F.array(*(F.lit(i) for i in range(10)))
     one = spark.range(1)
     size = lambda c, filled=0: one.select(F.size(graphs.prune(n, c, filled))).first()[0]
