@@ -5,9 +5,9 @@ bucket for a vector, and the vector also visits the buckets next to it in the or
 Candidates of all tables are merged, thinned by a 128-bit sign sketch (only those far outside the radius go), and
 ranked by exact distance. Equal vectors are one class and are compared once, however many there are.
 
-Buckets with more than ``hot`` vectors are taken out and their vectors hashed again with a narrower width, until buckets
-are small: where vectors lie dense, neighbours are near. Vectors with fewer than k neighbours within the radius, for
-which hashing cannot promise a result, are the stated queries of an exact search in blocks over all vectors.
+Buckets with more than ``hot`` vectors are compared in blocks as matrices: of all their pairs, those that are among the
+k nearest of either vector in a block go on, so none that counts is lost. Vectors with fewer than k neighbours within the
+radius, for which hashing cannot promise a result, are the stated queries of an exact search in blocks over all vectors.
 """
 
 from __future__ import annotations
@@ -57,12 +57,12 @@ def _vectors(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
     return data.mapInArrow(run, "id long, same long, v binary")
 
 
-def _entries(reps: DataFrame, dim: int, hashing: tuple, level: int) -> DataFrame:
+def _entries(reps: DataFrame, dim: int, hashing: tuple) -> DataFrame:
     """(bucket, home, id, s1, s2): the bucket a vector lives in, for each table, and those it visits."""
     m, width, tables, probes = hashing
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashing = Hashing(dim, m, width, tables, probes, seed=7 + level)
+        hashing = Hashing(dim, m, width, tables, probes)
         planes = np.random.default_rng(11).standard_normal((dim, _BITS))
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
@@ -88,23 +88,59 @@ def _entries(reps: DataFrame, dim: int, hashing: tuple, level: int) -> DataFrame
     return reps.select("id", "v").mapInArrow(run, "bucket long, home boolean, id long, s1 long, s2 long")
 
 
-def _candidates(reps: DataFrame, dim: int, radius: float, hashing: tuple, hot: int) -> DataFrame:
+def _candidates(reps: DataFrame, dim: int, k: int, radius: float, hashing: tuple, hot: int) -> DataFrame:
     angle = acos(1 - min(radius, 1.0)) / pi
     most = ceil(_BITS * angle + 3.7 * sqrt(_BITS * angle * (1 - angle)))
-    level, found, m, width, tables, probes = 0, None, *hashing
-    while True:
-        entries = _entries(reps, dim, (m, width / 3**level, tables, probes), level)
-        crowded = written(entries.where("home").groupBy("bucket").count().where(F.col("count") > hot).select("bucket"), "crowded") if level < 6 else None
-        again = crowded is not None and not crowded.isEmpty()
-        calm = entries.join(crowded, "bucket", "left_anti") if again else entries
-        a, b = calm.where("home").toDF("bucket", "h1", "a", "a1", "a2"), calm.toDF("bucket", "h2", "b", "b1", "b2")
-        near = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2"))) <= most
-        pairs = a.join(b, "bucket").where(F.col("a") != F.col("b")).where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = pairs if found is None else found.unionByName(pairs)
-        if not again:
-            return found.distinct() if level else found
-        reps = written(reps.join(entries.join(crowded, "bucket", "left_semi").select("id").distinct(), "id", "left_semi"), "dense")
-        level += 1
+    entries = _entries(reps, dim, hashing)
+    crowded = written(entries.where("home").groupBy("bucket").count().where(F.col("count") > hot).select("bucket"), "crowded")
+    some = not crowded.isEmpty()
+    calm = entries.join(crowded, "bucket", "left_anti") if some else entries
+    a, b = calm.where("home").toDF("bucket", "h1", "a", "a1", "a2"), calm.toDF("bucket", "h2", "b", "b1", "b2")
+    near = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2"))) <= most
+    pairs = a.join(b, "bucket").where(F.col("a") != F.col("b")).where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    if some:
+        pairs = pairs.unionByName(_crowded_pairs(reps, entries.join(crowded, "bucket", "left_semi").select("bucket", "home", "id"), dim, k, radius))
+    return pairs.distinct()
+
+
+def _best(qids: np.ndarray, qs: np.ndarray, ids: np.ndarray, xs: np.ndarray, k: int, radius: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(q, c): the k nearest within the radius of each query, ties to the smaller id; a few more may come along."""
+    order = np.argsort(ids)
+    ids, xs, take = ids[order], xs[order], min(k + 2, len(ids))
+    for i in range(0, len(qs), 512):
+        d = 1 - qs[i : i + 512] @ xs.T
+        far = (d > radius + 1e-9) | (qids[i : i + 512, None] == ids[None, :])
+        # Distance to 2^-40, then place by id.
+        rank = (np.rint(d * (1 << 40)).astype(np.int64) << 20) + np.arange(len(ids))
+        rank[far] = np.iinfo(np.int64).max
+        best = np.argpartition(rank, take - 1, axis=1)[:, :take]
+        keep = ~np.take_along_axis(far, best, axis=1)
+        yield np.repeat(qids[i : i + 512], take)[keep.ravel()], ids[best[keep]]
+
+
+def _crowded_pairs(reps: DataFrame, entries: DataFrame, dim: int, k: int, radius: float) -> DataFrame:
+    """(a, b), a < b: of all pairs of a vector at home in a bucket with one in it, those among the k nearest of either in
+    a block. k nearer ones in the same block are candidates too, so no other pair can be in a list."""
+    entries = written(entries, "crowds")
+    sizes = entries.groupBy("bucket").agg(F.ceil(F.count_if("home") / BLOCK).cast("int").alias("nh"), F.ceil(F.count("*") / BLOCK).cast("int").alias("nv"))
+    placed = entries.join(sizes, "bucket").select("bucket", "home", "id", "nh", "nv", F.expr("cast(pmod(xxhash64(id), nh) as int)").alias("h"), F.expr("cast(pmod(xxhash64(id), nv) as int)").alias("v"))
+    vectors = lambda: reps.select(F.col("id").alias("id"), F.col("v").alias("x"))
+    one = placed.where("home").select("bucket", "h", F.explode(F.expr("sequence(0, nv - 1)")).alias("v"), "id").join(vectors(), "id").select("bucket", "h", "v", "id", "x")
+    other = placed.select("bucket", F.explode(F.expr("sequence(0, nh - 1)")).alias("h"), "v", "home", "id").join(vectors(), "id")
+    # New aliases: both sides come from one table.
+    other = other.select(*(F.col(c).alias(c) for c in ("bucket", "h", "v", "home", "id", "x")))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        if left.num_rows and right.num_rows:
+            aids, a = left.column("id").to_numpy(), _unit(_matrix(left.column("x"), dim))
+            bids, b = right.column("id").to_numpy(), _unit(_matrix(right.column("x"), dim))
+            guest = ~right.column("home").to_numpy()  # the lists of those at home come from the first direction
+            out += [*_best(aids, a, bids, b, k, radius), *_best(bids[guest], b[guest], aids, a, k, radius)]
+        q, c = (np.concatenate([o[j] for o in out]) for j in (0, 1))
+        return pa.table({"a": np.minimum(q, c), "b": np.maximum(q, c)})
+
+    return one.groupBy("bucket", "h", "v").cogroup(other.groupBy("bucket", "h", "v")).applyInArrow(run, "a long, b long")
 
 
 def _near(reps: DataFrame, pairs: DataFrame, dim: int, radius: float) -> DataFrame:
@@ -176,7 +212,7 @@ def nearest(
     first = nodes.withColumn("r", F.row_number().over(Window.partitionBy("same").orderBy("id"))).where(f"r <= {k + 1}")
     classes = written(first.groupBy("same").agg(F.min("id").alias("rep"), F.sort_array(F.collect_list("id")).alias("ids")), "classes")
     reps = written(vectors.join(classes, vectors["id"] == classes["rep"], "left_semi").select("id", "v"), "reps")
-    near = written(_near(reps, _candidates(reps, dim, radius, (functions, width, tables, probes), hot), dim, radius), "near")
+    near = written(_near(reps, _candidates(reps, dim, k, radius, (functions, width, tables, probes), hot), dim, radius), "near")
 
     both = near.select(F.col("a").alias("q"), F.col("b").alias("c"), "d").unionByName(near.select(F.col("b").alias("q"), F.col("a").alias("c"), "d"))
     top = both.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "c"))).where(f"r <= {k}").drop("r")
