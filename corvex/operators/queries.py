@@ -38,4 +38,4 @@ def p7_instants(spark: SparkSession, d: str) -> DataFrame:
     return _times(spark, d).select("record_id", "raw", F.timestamp_micros("utc_us").alias("instant")).distinct()
 
 
-QUERIES = {"p3_found": p3_found, **{f"p3_{n}s": _table(n) for n in ("commit", "path", "request", "label", "thread", "comment")}, "p7_found": p7_found, "p7_instants": p7_instants}
+QUERIES = {"p3_found": p3_found, **{f"p3_{n}s": _table(n) for n in ("event", "change", "commit", "path", "change_of_file", "request", "label", "thread", "comment")}, "p7_found": p7_found, "p7_instants": p7_instants}
