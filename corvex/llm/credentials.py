@@ -51,11 +51,12 @@ _CONNECTION = re.compile(r"""(?i)(?:;|["'`=:\s])\s*(?:password|pwd)\s*=\s*(?P<v>
 _PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----.*?-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----", re.S)
 _IN_CONNECTION = re.compile(r"(?i)(?:server|host|data source|uid|user id|user|database|initial catalog|pool|port)\s*=[^;]*;")
 
+#: Every key that names a credential holds one of these, as each rule of key_kind ends in one.
+KEY_HINTS = ("pass", "pw", "secret", "key", "credential", "auth", "token")
 #: Of these a line with a finding holds at least one, in lower case; only such lines are looked into.
 HINTS = (
-    *("passw", "passphrase", "passcode", "pwd", "_pass", "_pw", "secret", "_key", "-key", "authorization", "bearer", "identified", "akia", "asia", "gho_", "ghp_", "ghu_", "ghs_"),
-    *("ghr_", "github_pat", "glpat-", "xox", "sk-", "_live_", "_test_", "_prod_", "aiza", "npm_", "sg.", "hf_", "credential", "_auth", "-auth"),
-    *(f"{w}key" for w in sorted(_KEY_OF)),
+    *(h for h in KEY_HINTS if h != "token"),
+    *("bearer", "identified", "akia", "asia", "gho_", "ghp_", "ghu_", "ghs_", "ghr_", "github_pat", "glpat-", "xox", "sk-", "_live_", "_test_", "_prod_", "aiza", "npm_", "sg.", "hf_"),
 )
 
 
@@ -97,7 +98,7 @@ def key_kind(key: str) -> str | None:
         return "sure"
     if last == "key" and before in _KEY_OF or words[-3:] == ["access", "key", "id"] or last == "token" and (before is None or before in _TOKEN_OF):
         return "sure"
-    if _JOINED.search("".join(words)) and len(words) <= 2:
+    if _JOINED.search("".join(words)) and len(words) <= 2 and any(h in key.lower() for h in KEY_HINTS):
         return "sure"
     return "maybe" if last in ("token", "key", "credential", "credentials", "auth") and before is not None else None
 
