@@ -8,7 +8,8 @@ window of ``anchor`` characters; equal runs have equal governors. Neighbouring r
    two documents go on; they are counted again by the hash of the whole segment. A segment that two documents have
    is shared as it is.
 2. For a segment that only one document has, while its governor is found elsewhere, every window of ``length``
-   characters is hashed and counted, against those of one document for each other segment of that governor.
+   characters is hashed and counted, against those of each other segment of that governor: of one document's text, with
+   the first and last document that have the segment.
 
 The shared runs of a document are merged into maximal intervals.
 """
@@ -101,27 +102,28 @@ def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", length:
     rows = written(rows.join(common, "fp", "left_semi"), "segments")
     classes = rows.groupBy("fp", "seg").agg(*ends).withColumn("one", F.col("k1") == F.col("k2"))
     mixed = classes.groupBy("fp").agg(F.count("*").alias("m"), F.max("one").alias("any_one")).where("m > 1 and any_one").select("fp", F.lit(True).alias("look"))
-    classes = classes.join(mixed, "fp", "left").select("fp", "seg", "k1", "one", F.coalesce("look", F.lit(False)).alias("look"))
+    classes = classes.join(mixed, "fp", "left").select("fp", "seg", "k1", "k2", "one", F.coalesce("look", F.lit(False)).alias("look"))
     rows = written(rows.join(classes, ["fp", "seg"]).where("not one or look"), "classes")
     whole = rows.where("not one").select("_k", F.col("start").alias("a"), (F.col("start") + F.col("n") - 1 + length).alias("b"))
 
-    # One document for each segment of the governors that need a closer look.
-    closer = rows.where("look and _k = k1").groupBy(F.col("_k").alias("_d")).agg(F.collect_set(F.struct("start", "n", "one")).alias("at"))
+    # One document's text for each segment of the governors that need a closer look; k2 stands for the others that have it.
+    closer = rows.where("look and _k = k1").groupBy(F.col("_k").alias("_d")).agg(F.collect_set(F.struct("start", "n", "one", "k2")).alias("at"))
     texts = docs.join(closer, docs["_k"] == closer["_d"]).select("_k", "_t", "at")
 
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            sizes = [len(h) for _, h, _, _ in out]
+            sizes = [len(h) for _, h, *_ in out]
             batch = pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.repeat(np.array([k for k, *_ in out], object), sizes), arrow_key),
-                    pa.array(np.concatenate([h for _, h, _, _ in out])),
-                    pa.array(np.concatenate([np.arange(a, a + m, dtype=np.int32) for (_, _, a, _), m in zip(out, sizes)])),
-                    pa.array(np.repeat(np.array([one for *_, one in out], bool), sizes)),
+                    pa.array(np.concatenate([h for _, h, *_ in out])),
+                    pa.array(np.concatenate([np.arange(a, a + m, dtype=np.int32) for (_, _, a, *_), m in zip(out, sizes)])),
+                    pa.array(np.repeat(np.array([x[3] for x in out], bool), sizes)),
+                    pa.array(np.repeat(np.array([x[4] for x in out], object), sizes), arrow_key),
                 ],
-                names=["_k", "h", "a", "one"],
+                names=["_k", "h", "a", "one", "_k2"],
             )
             out.clear()
             return batch
@@ -130,14 +132,14 @@ def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", length:
             for k, t, at in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 for x in at:
                     roll = Rolling(codes_of(t[x["start"] : x["start"] + x["n"] - 1 + length]))
-                    out.append((k, roll.every(length).view(np.int64), x["start"], x["one"]))
+                    out.append((k, roll.every(length).view(np.int64), x["start"], x["one"], x["k2"]))
                     if len(out) >= 1000:
                         yield flush()
         if out:
             yield flush()
 
-    windows = texts.mapInArrow(every, f"_k {kind}, h long, a int, one boolean")
-    found = windows.groupBy("h").agg(*ends, F.max("one").alias("any_one")).where("k1 < k2 and any_one").select("h")
+    windows = texts.mapInArrow(every, f"_k {kind}, h long, a int, one boolean, _k2 {kind}")
+    found = windows.groupBy("h").agg(F.min("_k").alias("k1"), F.max("_k2").alias("k2"), F.max("one").alias("any_one")).where("k1 < k2 and any_one").select("h")
     single = windows.where("one").join(found, "h", "left_semi").select("_k", "a", (F.col("a") + length).alias("b"))
 
     order = Window.partitionBy("_k").orderBy("a", "b")
