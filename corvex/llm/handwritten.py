@@ -2,9 +2,10 @@
 
 A file is judged by its name, its path and its text: comment lines that say what it is, and how its lines and characters
 are composed. Third-party copies lose their headers and move; so the distinct lines of the files known to be third-party
-make an inverted index from the hash of a line to the third-party files (by name) that have it, of which only rare lines,
-those of few names, are kept. What share of a remaining file's lines is found under one name of the index is its
-containment, counted exactly, across repositories.
+make an inverted index from the hash of a line to the third-party files (by name) that have it; names with the same lines
+are one. What share of a remaining file's lines is found under one name of the index is its containment, counted over all
+lines, across repositories. A name that has t of a file's lines has one of any all but t - 1, so the rarest of these find
+the names to count.
 """
 
 from __future__ import annotations
@@ -16,14 +17,13 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvex.llm.splitting import extension
 from corvex.shared import written
 
 LEAST_LINE = 12  # characters of a line that counts
-RARE_NAMES = 4  # a line found under more names than this is common
 CONTAINED = 0.4  # share of a file's lines found under one third-party name
 LEAST_LINES = 4
 
@@ -162,11 +162,19 @@ def not_handwritten(files: DataFrame, config: DataFrame, key: str = "file_id") -
     others = judged.where("projects is not null").select("_k", F.explode("projects").alias("project")).join(owners, "project", "left_anti").select("_k", F.lit(True).alias("others")).distinct()
     headed = judged.where("projects is not null").join(others, "_k", "left").withColumn("reason", F.when(F.col("others"), F.col("reason")).otherwise(F.col("rest")))
     judged = judged.where("projects is null").select("_k", "reason", "name", "lines").unionByName(headed.select("_k", "reason", "name", "lines"))
-    index = judged.where("reason = 'third_party'").select("name", F.explode("lines").alias("line")).distinct()
-    rare = index.groupBy("line").agg(F.count("*").alias("m")).where(f"m <= {RARE_NAMES}").select("line")
-    index = index.join(rare, "line", "left_semi")
+    index = written(judged.where("reason = 'third_party'").select("name", F.explode("lines").alias("line")).distinct(), "index")
+    # Names with the same lines, as of renamed copies, count as one; order does not change a bit_xor.
+    alike = index.groupBy("name").agg(F.count("*").alias("c"), F.bit_xor("line").alias("x"), F.bit_xor(F.xxhash64("line")).alias("y")).groupBy("c", "x", "y").agg(F.min("name").alias("name")).select("name")
+    index = written(index.join(alike, "name", "left_semi"), "sources")
+    names = index.groupBy("line").agg(F.count("*").alias("m"))
     open_files = judged.where("reason is null").select("_k", F.size("lines").alias("n"), F.explode("lines").alias("line"))
-    held = open_files.join(index, "line").groupBy("_k", "n", "name").agg(F.count_distinct("line").alias("m"))
+    least = F.greatest(F.lit(LEAST_LINES), F.ceil(F.expr(f"{CONTAINED} * n")))
+    known = open_files.join(names, "line").distinct().withColumn("all", F.count("*").over(Window.partitionBy("_k", "n"))).where(F.col("all") >= least)
+    known = written(known.withColumn("r", F.row_number().over(Window.partitionBy("_k", "n").orderBy("m", "line"))), "known")
+    sought = known.where(F.col("r") <= F.col("all") - least + 1).select("_k", "n", "line").join(index, "line").select("_k", "n", "name").distinct()
+    # New aliases: both sides come from one table.
+    lines = known.select(F.col("_k").alias("_k"), F.col("n").alias("n"), F.col("line").alias("line"))
+    held = sought.join(lines, ["_k", "n"]).join(index.select(F.col("name").alias("name"), F.col("line").alias("line")), ["name", "line"], "left_semi").groupBy("_k", "n", "name").agg(F.count("*").alias("m"))
     copies = held.where(f"m >= {LEAST_LINES} and m >= {CONTAINED} * n").select("_k", F.lit("third_party").alias("reason"))
     found = judged.where("reason is not null").select("_k", "reason").unionByName(copies)
     return found.groupBy("_k").agg(F.min("reason").alias("reason")).withColumnRenamed("_k", key)
