@@ -155,6 +155,39 @@ def _line_findings(line: str) -> Iterator[tuple[int, int]]:
                 yield m.span("v")
 
 
+#: What stands before a value, for each pattern: in long lines the pattern itself is tried from there over the whole line.
+_HEADS = (
+    (re.compile(rf"""(?P<k>[A-Za-z_$][\w$-]*)["'`]?\]?{_TYPE}\s*(?:=>|:=|\?\?=|=(?!=)|:(?!:))"""), _ASSIGNED, True),
+    (re.compile(r"""["'`:](?P<k>[A-Za-z_$][\w$.-]*)["'`]?\s*,"""), _LISTED, True),
+    (re.compile(r"""(?:\#\s*define\s+(?P<k>\w+)|\b(?P<sql>PASSWORD|IDENTIFIED\s+BY|password|identified\s+by))\s"""), _SPACED, True),
+    (re.compile(r"""(?<![\w-])--?(?P<k>[A-Za-z][\w-]*)[=\s]"""), _FLAG, False),
+    (re.compile(r"""(?<![\w-])(?P<k>[A-Za-z][A-Za-z]*(?:-[A-Za-z]+)+):"""), _HEADER, False),
+    (re.compile(r"""(?:^|[`({,])[ \t]*(?:export\s+|set\s+|-\s+|[#/;*-]+[ \t]+)?(?:[A-Za-z_][\w-]*\.)*(?P<k>[A-Za-z_][\w-]*)[ \t]*[:=]"""), _BARE, False),
+    (re.compile(r"(?i)authorization"), _AUTHORIZATION, None),
+    (re.compile(r"\b[Bb]earer\s"), _BEARER, None),
+    (re.compile(r"(?:AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abeprs]-|sk-|[a-z]{2,6}_(?:live|test|prod)_|AIza|npm_|SG\.|hf_)"), _PREFIXED, None),
+    (re.compile(r"""\b[A-Za-z][A-Za-z0-9+.-]*://[^\s:/@"'`<>?#]*:"""), _URL, None),
+)
+
+
+def _long_findings(line: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Findings that begin in a part of a long line, however far their values go on."""
+    for head, pattern, quoted in _HEADS:
+        at = start
+        while h := head.search(line, at, end):
+            at = h.start() + 1
+            names = h.groupdict()
+            kind = "sure" if names.get("sql") else key_kind(names["k"]) if names.get("k") else None
+            if quoted is not None and kind is None or not (m := pattern.match(line, h.start())):
+                continue
+            if quoted is not None:
+                good = _credential(kind, m["v"], quoted)
+            else:
+                good = pattern is _PREFIXED or not _PLACEHOLDER.fullmatch(m["v"]) and (pattern is not _BEARER or re.search(r"\d", m["v"]))
+            if good:
+                yield m.span("v") if "v" in pattern.groupindex else m.span()
+
+
 _LINE = re.compile(r"[^\n]+")
 
 
@@ -173,8 +206,13 @@ def find_credentials(text: str | None) -> list[tuple[int, int]]:
         start = text.rfind("\n", 0, at) + 1
         end = text.find("\n", at)
         end = seen = len(text) if end < 0 else end
-        for piece_start, piece in _pieces(text[start:end].rstrip("\r")):
-            spans += [(start + piece_start + a, start + piece_start + b) for a, b in _line_findings(piece)]
+        line = text[start:end].rstrip("\r")
+        for piece_start, piece in _pieces(line):
+            whole = piece_start + len(piece) == len(line)
+            # A value that a window cuts is found from where it begins.
+            spans += [(start + piece_start + a, start + piece_start + b) for a, b in _line_findings(piece) if whole or b < len(piece)]
+            if len(piece) < len(line):
+                spans += [(start + a, start + b) for a, b in _long_findings(line, piece_start, piece_start + len(piece))]
     spans.sort(key=lambda s: (s[0], -s[1]))
     out: list[tuple[int, int]] = []
     for a, b in spans:
