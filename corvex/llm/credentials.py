@@ -1,28 +1,34 @@
 """Credentials written out in source code and configuration, and the same bytes with only them masked.
 
-Each line is read as the assignments it may hold, in the notations of configuration formats and programming languages:
-a key path, a value, and the value's offset. A value is a finding if its key names a credential and it has the shape of
-one; values with a shape of their own (tokens with a known prefix, header values, URLs and connection strings with a
-password, private key blocks) are found under any key. Redactions are spliced into the text at the offsets.
+Configuration formats are parsed into key paths with the byte offsets of their values (``keypaths``); a value is a
+finding if its path names a credential and it has the shape of one. Source code, prose and comments are read line by
+line as the assignments of string literals they may hold. Values with a shape of their own (tokens with a known prefix,
+header values, URLs and connection strings with a password, private key blocks) are found under any key. Redactions are
+spliced into the original bytes at the offsets.
+
+All patterns run over the text's UTF-8 bytes, one character for each byte.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvex.llm import keypaths
+
 # Words by which keys are judged, after splitting at case changes and signs.
 _PASS = {"password", "passwd", "passphrase", "pwd", "pass", "pw", "passcode"}
 _KEY_OF = {"api", "access", "secret", "private", "deploy", "signing", "encryption", "auth", "account", "service", "master", "license", "storage", "shared", "app", "subscription", "sign", "crypto", "hmac", "jwt", "admin"}
 _TOKEN_OF = {"access", "auth", "api", "host", "bearer", "refresh", "session", "bot", "deploy", "id", "user", "app", "private", "personal", "security", "secret", "git", "github", "gitlab", "gitea", "bitbucket", "slack", "npm", "pypi", "oauth", "csrf", "webhook", "ci", "job", "registry", "service", "admin", "client", "x", "vault", "push", "my", "the", "account"}
 _JOINED = re.compile(r"(?:password|passwd|passphrase|(?:api|access|secret|private|deploy|signing|encryption|auth)key|(?:access|auth|api|host|bearer|refresh|deploy|session)token|(?:client|webhook|app|api|shared|consumer|jwt|hmac)secret|accesskeyid|secretaccesskey)$")
-_SPLIT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
+_SPLIT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+", re.A)
 _PLACEHOLDER = re.compile(
-    r"""(?ix) change.?me.* | to.?do | fix.?me | tbd | x+ | \*+ | \.+ | -+ | \#+ | _+ | 0+ | password | passwd | secret | none | null | nil | undefined | true | false | dummy.* | fake.* | sample.* | test | example.* | .*[-_.]example | placeholder.* | redacted.* | masked
+    r"""(?ixa) change.?me.* | to.?do | fix.?me | tbd | x+ | \*+ | \.+ | -+ | \#+ | _+ | 0+ | password | passwd | secret | none | null | nil | undefined | true | false | dummy.* | fake.* | sample.* | test | example.* | .*[-_.]example | placeholder.* | redacted.* | masked
     | your.* | my[-_ ]?(?:password|secret|token|key).* | .*[-_ ]here | (?:replace|insert|enter|put|set|add|fill)[-_ ]?.* | (?:pass|password|token|secret|api.?key)[-_]?(?:goes)?[-_]?(?:value|here)?
     | <.*> | \[.*\] | \$\{?[A-Z_][A-Z0-9_]*\}? | \$\{.*\} | \$\(.*\) | %\(.*\)s | %[A-Z_]+% | %s | \{.*\} | @.*@ | \#\{.*\}
     | (?:env|vault|ssm|secret|secrets|keyring|file|ref|sops|op|arn|gcp|aws|azure|kms|config)[:/].* | (?:os|process|System|ENV|env|config|settings|secrets|vault|self|this|args|opts|options|params|request|req|ctx|viper|getenv)\b[.\[(].*"""
@@ -32,24 +38,24 @@ _STRING = r"""(?:[bBrRuUfF@$]{0,2})(?P<q>\"\"\"|'''|["'`])(?P<v>[^\r\n]*?)(?<!\\
 # Only what wraps a literal; os.Getenv("NAME") and the like are references.
 _WRAP = r"(?:(?:new\s+)?(?:[\w.:]*(?:[Ss]tring|SecretStr|Secret|[Bb]ytes|Buffer\.from|Some|String::from)|str|S|Text|literal)\(\s*)?"
 _TYPE = r"(?:\s*:\s*&?\s*(?:'static\s+)?(?:mut\s+)?[A-Za-z_][\w:<>?\[\]]*(?=\s*=))?"
-_ASSIGNED = re.compile(rf"""(?P<k>[A-Za-z_$][\w$-]*)["'`]?\]?{_TYPE}\s*(?:=>|:=|\?\?=|=(?!=)|:(?!:))\s*{_WRAP}{_STRING}""")
-_LISTED = re.compile(rf"""["'`:](?P<k>[A-Za-z_$][\w$.-]*)["'`]?\s*,\s*{_WRAP}{_STRING}""")
-_SPACED = re.compile(rf"""(?:\#\s*define\s+(?P<k>\w+)|\b(?P<sql>PASSWORD|IDENTIFIED\s+BY|password|identified\s+by))\s+{_STRING}""")
-_FLAG = re.compile(r"""(?<![\w-])--?(?P<k>[A-Za-z][\w-]*)(?:=|\s+)(?P<v>[^\s"'`;|&<>]+)""")
-_HEADER = re.compile(r"""(?<![\w-])(?P<k>[A-Za-z][A-Za-z]*(?:-[A-Za-z]+)+):\s*(?P<v>[^\s"'`;|&<>,:]+)""")
-_BARE = re.compile(r"""(?:^|[`({,])[ \t]*(?:export\s+|set\s+|-\s+|[#/;*-]+[ \t]+)?(?:[A-Za-z_][\w-]*\.)*(?P<k>[A-Za-z_][\w-]*)[ \t]*[:=][ \t]*(?P<v>[^\s"'`,]+)[ \t]*(?=$|`|\s[#;])""")
+_ASSIGNED = re.compile(rf"""(?P<k>[A-Za-z_$][\w$-]*)["'`]?\]?{_TYPE}\s*(?:=>|:=|\?\?=|=(?!=)|:(?!:))\s*{_WRAP}{_STRING}""", re.A)
+_LISTED = re.compile(rf"""["'`:](?P<k>[A-Za-z_$][\w$.-]*)["'`]?\s*,\s*{_WRAP}{_STRING}""", re.A)
+_SPACED = re.compile(rf"""(?:\#\s*define\s+(?P<k>\w+)|\b(?P<sql>PASSWORD|IDENTIFIED\s+BY|password|identified\s+by))\s+{_STRING}""", re.A)
+_FLAG = re.compile(r"""(?<![\w-])--?(?P<k>[A-Za-z][\w-]*)(?:=|\s+)(?P<v>[^\s"'`;|&<>]+)""", re.A)
+_HEADER = re.compile(r"""(?<![\w-])(?P<k>[A-Za-z][A-Za-z]*(?:-[A-Za-z]+)+):\s*(?P<v>[^\s"'`;|&<>,:]+)""", re.A)
+_BARE = re.compile(r"""(?:^|[`({,])[ \t]*(?:export\s+|set\s+|-\s+|[#/;*-]+[ \t]+)?(?:[A-Za-z_][\w-]*\.)*(?P<k>[A-Za-z_][\w-]*)[ \t]*[:=][ \t]*(?P<v>[^\s"'`,]+)[ \t]*(?=$|`|\s[#;])""", re.A)
 
 _PREFIXED = re.compile(
     r"""(?<![A-Za-z0-9_/+-])(?:(?:AKIA|ASIA)[A-Z0-9]{16} | gh[pousr]_[A-Za-z0-9]{36,} | github_pat_\w{22,} | glpat-[\w-]{20,} | xox[abeprs]-[A-Za-z0-9-]{10,} | sk-[A-Za-z0-9_-]{20,}
     | [a-z]{2,6}_(?:live|test|prod)_[A-Za-z0-9]{16,} | AIza[\w-]{35} | npm_[A-Za-z0-9]{36} | SG\.[\w-]{16,}\.[\w-]{16,} | hf_[A-Za-z]{30,})(?![A-Za-z0-9_/+=-])""",
-    re.X,
+    re.X | re.A,
 )
-_AUTHORIZATION = re.compile(r"""(?i)authorization["'`]?\]?\s*[:=,]\s*["'`]?\s*(?:bearer|basic|token|digest)\s+(?P<v>[^\s"'`\\,;<>]+)""")
-_BEARER = re.compile(r"""\b[Bb]earer\s+(?P<v>[A-Za-z0-9_~+/.-]{16,}=*)""")
-_URL = re.compile(r"""\b[A-Za-z][A-Za-z0-9+.-]*://[^\s:/@"'`<>?#]*:(?P<v>[^\s/@"'`<>]+)@[^\s@"'`]""")
-_CONNECTION = re.compile(r"""(?i)(?:;|["'`=:\s])\s*(?:password|pwd)\s*=\s*(?P<v>[^;"'`\s]+)(?=;|["'`]|\s|$)""")
+_AUTHORIZATION = re.compile(r"""(?ia)authorization["'`]?\]?\s*[:=,]\s*["'`]?\s*(?:bearer|basic|token|digest)\s+(?P<v>[^\s"'`\\,;<>]+)""")
+_BEARER = re.compile(r"""\b[Bb]earer\s+(?P<v>[A-Za-z0-9_~+/.-]{16,}=*)""", re.A)
+_URL = re.compile(r"""\b[A-Za-z][A-Za-z0-9+.-]*://[^\s:/@"'`<>?#]*:(?P<v>[^\s/@"'`<>]+)@[^\s@"'`]""", re.A)
+_CONNECTION = re.compile(r"""(?ia)(?:;|["'`=:\s])\s*(?:password|pwd)\s*=\s*(?P<v>[^;"'`\s]+)(?=;|["'`]|\s|$)""")
 _PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----.*?-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----", re.S)
-_IN_CONNECTION = re.compile(r"(?i)(?:server|host|data source|uid|user id|user|database|initial catalog|pool|port)\s*=[^;]*;")
+_IN_CONNECTION = re.compile(r"(?ia)(?:server|host|data source|uid|user id|user|database|initial catalog|pool|port)\s*=[^;]*;")
 
 #: Every key that names a credential holds one of these, as each rule of key_kind ends in one.
 KEY_HINTS = ("pass", "pw", "secret", "key", "credential", "auth", "token")
@@ -60,11 +66,6 @@ HINTS = (
 )
 
 
-def _lower(text: str) -> str:
-    low = text.lower()
-    return low if len(low) == len(text) else "".join(c.lower() if c.isascii() else c for c in text)
-
-
 def _hint_places(low: str) -> Iterator[int]:
     for h in HINTS:
         at = low.find(h)
@@ -103,7 +104,7 @@ def key_kind(key: str) -> str | None:
     return "maybe" if last in ("token", "key", "credential", "credentials", "auth") and before is not None else None
 
 
-_CHANGE = re.compile(r"(?<=[a-z])(?=[A-Z0-9])|(?<=[A-Z])(?=[a-z0-9])|(?<=[0-9])(?=[A-Za-z])")
+_CHANGE = re.compile(r"(?<=[a-z])(?=[A-Z0-9])|(?<=[A-Z])(?=[a-z0-9])|(?<=[0-9])(?=[A-Za-z])", re.A)
 
 
 def scrambled(value: str) -> bool:
@@ -118,18 +119,58 @@ def random_shape(value: str) -> bool:
     return scrambled(value) or bool(re.search(r"[a-z]", value) and re.search(r"[A-Z]", value)) and not re.search(r"[a-z]{9}", value)
 
 
-def _credential(kind: str | None, value: str, quoted: bool) -> bool:
-    if kind is None or not 4 <= len(value) or "-----BEGIN" in value or re.search(r"\s", value) or _PLACEHOLDER.fullmatch(value):
+# What a value in a configuration file may be besides a literal: a word or number, a call, a path or a reference.
+_NO_LITERAL = re.compile(
+    r"""(?xa) [A-Za-z_]+(?:[.:/-][A-Za-z_]+)*[;,]? | \d{1,8} | [\w.:]+\(.*\)[;,]? | [&*!\[{<(|>].*"""
+)
+_FILE = re.compile(r"(?:~|\.{1,2})/.*|/(?:etc|var|run|home|usr|opt|tmp|mnt|secrets?)/.*|[\w./\\-]+\.(?:pem|key|crt|cer|p12|pfx|jks|json|txt|ya?ml|env|conf|pub)", re.A)
+
+
+def _credential(kind: str | None, value: str, quoted: bool | None) -> bool:
+    """``quoted`` is None for a value without quotes that is surely a literal."""
+    if kind is None or not 4 <= len(value) or "-----BEGIN" in value or re.search(r"\s", value, re.A) or _PLACEHOLDER.fullmatch(value) or _FILE.fullmatch(value):
         return False
     if "://" in value or _IN_CONNECTION.search(value):
         return False  # its password, if any, is found as such
     if kind == "maybe":
         return random_shape(value)
+    if quoted is None:
+        # Names joined by hyphens are no expression where values are literals, and common as passwords if they hold a digit.
+        return not _NO_LITERAL.fullmatch(value)
     # Unquoted, it may be an expression: a credential has no brackets, and is no plain word, name or number.
-    return quoted or not re.search(r"[()\[\]{}<>]|^[&*]", value) and not re.fullmatch(r"[A-Za-z_]+(?:\.[A-Za-z_]\w*)*[;,]?|\d{1,8}[;,]?|[a-z_]+[A-Z]\w*;?|\w*_\w*(?:[.;]\w*)*", value) or scrambled(value)
-
-
-def _line_findings(line: str) -> Iterator[tuple[int, int]]:
+    return quoted or not re.search(r"[()\[\]{}<>]|^[&*]", value) and not re.fullmatch(r"[A-Za-z_]+(?:\.[A-Za-z_]\w*)*[;,]?|\d{1,8}[;,]?|[a-z_]+[A-Z]\w*;?|\w*_\w*(?:[.;]\w*)*", value, re.A) or scrambled(value)
+
+
+def path_kind(path: tuple[str, ...]) -> tuple[str | None, bool]:
+    """As ``key_kind`` for a key path, and whether the last key alone says so. A key that only says that a value follows
+    leaves the judgement to the one above it; ``auth: {key: ...}`` is judged as ``auth_key``."""
+    own = key_kind(path[-1])
+    if own:
+        return own, True
+    for i in range(len(path) - 1, 0, -1):
+        if keypaths.plain_key(path[i]) not in keypaths.VALUES:
+            return key_kind(f"{path[i - 1]}_{path[i]}"), False
+        if above := key_kind(path[i - 1]) or ("sure" if keypaths.plain_key(path[i - 1]) in ("credential", "credentials") else None):
+            return above, False
+    return None, False
+
+
+def config_findings(text: str, path: str | None) -> tuple[list[tuple[int, int]], list[tuple[int, int]], set[int]]:
+    """Of a configuration text the spans of its credentials, those of its keys in order, and where its values begin."""
+    found, keys, starts = [], set(), set()
+    entries, literal = keypaths.entries(text, path)
+    for e in entries:
+        starts.add(e.start)
+        if e.key:
+            keys.add(e.key)
+        kind, own = path_kind(e.path)
+        if kind and _credential(kind, text[e.start : e.end], True if e.quoted and own else None if literal or e.quoted else False):
+            found.append((e.start, e.end))
+    return found, sorted(keys), starts
+
+
+def _shaped_findings(line: str) -> Iterator[tuple[int, int]]:
+    """Values with a shape of their own."""
     for m in _AUTHORIZATION.finditer(line):
         if not _PLACEHOLDER.fullmatch(m["v"]):
             yield m.span("v")
@@ -146,6 +187,10 @@ def _line_findings(line: str) -> Iterator[tuple[int, int]]:
         for m in _CONNECTION.finditer(line):
             if not _PLACEHOLDER.fullmatch(m["v"]):
                 yield m.span("v")
+
+
+def _assigned_findings(line: str) -> Iterator[tuple[int, int]]:
+    """Values that are credentials by the name they are assigned to."""
     for pattern, quoted in ((_ASSIGNED, True), (_LISTED, True), (_SPACED, True), (_FLAG, False), (_HEADER, False), (_BARE, False)):
         at = 0
         while m := pattern.search(line, at):
@@ -157,21 +202,22 @@ def _line_findings(line: str) -> Iterator[tuple[int, int]]:
 
 #: What stands before a value, for each pattern: in long lines the pattern itself is tried from there over the whole line.
 _HEADS = (
-    (re.compile(rf"""(?P<k>[A-Za-z_$][\w$-]*)["'`]?\]?{_TYPE}\s*(?:=>|:=|\?\?=|=(?!=)|:(?!:))"""), _ASSIGNED, True),
-    (re.compile(r"""["'`:](?P<k>[A-Za-z_$][\w$.-]*)["'`]?\s*,"""), _LISTED, True),
-    (re.compile(r"""(?:\#\s*define\s+(?P<k>\w+)|\b(?P<sql>PASSWORD|IDENTIFIED\s+BY|password|identified\s+by))\s"""), _SPACED, True),
-    (re.compile(r"""(?<![\w-])--?(?P<k>[A-Za-z][\w-]*)[=\s]"""), _FLAG, False),
-    (re.compile(r"""(?<![\w-])(?P<k>[A-Za-z][A-Za-z]*(?:-[A-Za-z]+)+):"""), _HEADER, False),
-    (re.compile(r"""(?:^|[`({,])[ \t]*(?:export\s+|set\s+|-\s+|[#/;*-]+[ \t]+)?(?:[A-Za-z_][\w-]*\.)*(?P<k>[A-Za-z_][\w-]*)[ \t]*[:=]"""), _BARE, False),
+    (re.compile(rf"""(?P<k>[A-Za-z_$][\w$-]*)["'`]?\]?{_TYPE}\s*(?:=>|:=|\?\?=|=(?!=)|:(?!:))""", re.A), _ASSIGNED, True),
+    (re.compile(r"""["'`:](?P<k>[A-Za-z_$][\w$.-]*)["'`]?\s*,""", re.A), _LISTED, True),
+    (re.compile(r"""(?:\#\s*define\s+(?P<k>\w+)|\b(?P<sql>PASSWORD|IDENTIFIED\s+BY|password|identified\s+by))\s""", re.A), _SPACED, True),
+    (re.compile(r"""(?<![\w-])--?(?P<k>[A-Za-z][\w-]*)[=\s]""", re.A), _FLAG, False),
+    (re.compile(r"""(?<![\w-])(?P<k>[A-Za-z][A-Za-z]*(?:-[A-Za-z]+)+):""", re.A), _HEADER, False),
+    (re.compile(r"""(?:^|[`({,])[ \t]*(?:export\s+|set\s+|-\s+|[#/;*-]+[ \t]+)?(?:[A-Za-z_][\w-]*\.)*(?P<k>[A-Za-z_][\w-]*)[ \t]*[:=]""", re.A), _BARE, False),
     (re.compile(r"(?i)authorization"), _AUTHORIZATION, None),
-    (re.compile(r"\b[Bb]earer\s"), _BEARER, None),
+    (re.compile(r"\b[Bb]earer\s", re.A), _BEARER, None),
     (re.compile(r"(?:AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abeprs]-|sk-|[a-z]{2,6}_(?:live|test|prod)_|AIza|npm_|SG\.|hf_)"), _PREFIXED, None),
-    (re.compile(r"""\b[A-Za-z][A-Za-z0-9+.-]*://[^\s:/@"'`<>?#]*:"""), _URL, None),
+    (re.compile(r"""\b[A-Za-z][A-Za-z0-9+.-]*://[^\s:/@"'`<>?#]*:""", re.A), _URL, None),
+    (re.compile(r"""(?ia)(?:;|["'`=:\s])\s*(?:password|pwd)\s*="""), _CONNECTION, None),
 )
 
 
-def _long_findings(line: str, start: int, end: int) -> Iterator[tuple[int, int]]:
-    """Findings that begin in a part of a long line, however far their values go on."""
+def _long_findings(line: str, start: int, end: int) -> Iterator[tuple[int, int, bool]]:
+    """Findings that begin in a part of a long line, however far their values go on, and whether they rest on a name."""
     for head, pattern, quoted in _HEADS:
         at = start
         while h := head.search(line, at, end):
@@ -182,23 +228,38 @@ def _long_findings(line: str, start: int, end: int) -> Iterator[tuple[int, int]]
                 continue
             if quoted is not None:
                 good = _credential(kind, m["v"], quoted)
+            elif pattern is _CONNECTION:
+                good = not _PLACEHOLDER.fullmatch(m["v"]) and _IN_CONNECTION.search(line, max(0, m.start() - 400), m.end() + 400)
             else:
                 good = pattern is _PREFIXED or not _PLACEHOLDER.fullmatch(m["v"]) and (pattern is not _BEARER or re.search(r"\d", m["v"]))
             if good:
-                yield m.span("v") if "v" in pattern.groupindex else m.span()
+                yield *(m.span("v") if "v" in pattern.groupindex else m.span()), quoted is not None
 
 
-_LINE = re.compile(r"[^\n]+")
+def _pieces(line: str, most: int = 4000, overlap: int = 1000) -> Iterator[tuple[int, str]]:
+    """A line as it is, or a very long one in overlapping windows, so that the work stays linear."""
+    if len(line) <= most:
+        yield 0, line
+        return
+    for at in range(0, max(1, len(line) - overlap), most - overlap):
+        yield at, line[at : at + most]
 
 
-def find_credentials(text: str | None) -> list[tuple[int, int]]:
-    """Spans (start, end) of the credentials in code points, in order, without overlap; of overlapping ones the first,
-    and of those the longest, counts. None or an empty text has none."""
-    if not text:
-        return []
-    low = _lower(text)
+def find_spans(text: str, path: str | None = None) -> list[tuple[int, int]]:
+    """Spans of the credentials of a text given as its bytes, one character for each, in order, without overlap; of
+    overlapping ones the first, and of those the longest, counts. ``path`` tells the format; what the text holds decides."""
+    low = text.lower()
     places = sorted(_hint_places(low))
     spans = [m.span() for m in _PRIVATE.finditer(text)] if "private key" in low else []
+    found, keys, starts = config_findings(text, path) if places else ([], [], set())
+    spans += found
+    begins = [a for a, _ in keys]
+
+    def judged(a: int) -> bool:
+        """A place that its format has already told to be a key or a whole value is no assignment's value."""
+        i = bisect_right(begins, a) - 1
+        return a in starts or i >= 0 and a < keys[i][1]
+
     seen = -1
     for at in places:
         if at < seen:
@@ -208,11 +269,12 @@ def find_credentials(text: str | None) -> list[tuple[int, int]]:
         end = seen = len(text) if end < 0 else end
         line = text[start:end].rstrip("\r")
         for piece_start, piece in _pieces(line):
-            whole = piece_start + len(piece) == len(line)
+            whole, off = piece_start + len(piece) == len(line), start + piece_start
             # A value that a window cuts is found from where it begins.
-            spans += [(start + piece_start + a, start + piece_start + b) for a, b in _line_findings(piece) if whole or b < len(piece)]
+            spans += [(off + a, off + b) for a, b in _shaped_findings(piece) if whole or b < len(piece)]
+            spans += [(off + a, off + b) for a, b in _assigned_findings(piece) if (whole or b < len(piece)) and not judged(off + a)]
             if len(piece) < len(line):
-                spans += [(start + a, start + b) for a, b in _long_findings(line, piece_start, piece_start + len(piece))]
+                spans += [(start + a, start + b) for a, b, named in _long_findings(line, piece_start, piece_start + len(piece)) if not (named and judged(start + a))]
     spans.sort(key=lambda s: (s[0], -s[1]))
     out: list[tuple[int, int]] = []
     for a, b in spans:
@@ -221,13 +283,15 @@ def find_credentials(text: str | None) -> list[tuple[int, int]]:
     return out
 
 
-def _pieces(line: str, most: int = 4000, overlap: int = 1000) -> Iterator[tuple[int, str]]:
-    """A line as it is, or a very long one in overlapping windows, so that the work stays linear."""
-    if len(line) <= most:
-        yield 0, line
-        return
-    for at in range(0, max(1, len(line) - overlap), most - overlap):
-        yield at, line[at : at + most]
+def find_credentials(text: str | None, path: str | None = None) -> list[tuple[int, int]]:
+    """``find_spans`` of a string, as spans of code points. None or an empty text has none."""
+    if not text:
+        return []
+    raw = text.encode("utf-8", "surrogatepass")
+    spans = find_spans(raw.decode("latin-1"), path)
+    if len(raw) == len(text):
+        return spans
+    return [(len(raw[:a].decode("utf-8", "surrogatepass")), len(raw[:b].decode("utf-8", "surrogatepass"))) for a, b in spans]
 
 
 def masked(text: str | None, spans: list[tuple[int, int]], mask: str = "*****") -> str | None:
@@ -249,10 +313,23 @@ def _hinted(text: Column) -> Column:
     return some
 
 
-def credentials(df: DataFrame, key: str = "file_id", text: str = "content") -> DataFrame:
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[str | None, str | None]]:
+    """Each row's text, a character for a byte, and its path; columns 1 and 2."""
+    paths = batch.column(2).to_pylist()
+    for t, p in zip(batch.column(1).cast(pa.binary()).to_pylist(), paths):
+        yield None if t is None else t.decode("latin-1"), p
+
+
+def _rows(df: DataFrame, key: str, text: str, path: str | None) -> DataFrame:
+    return df.select(df[key].alias("_k"), df[text].alias("_t"), (df[path].cast("string") if path else F.lit(None).cast("string")).alias("_p"))
+
+
+def credentials(df: DataFrame, key: str = "file_id", text: str = "content", path: str | None = None) -> DataFrame:
     """(``key``, line_no, secret): each credential, line_no from 1 by ``\\n`` alone.
 
-    Null, empty and blank texts have none; repeated rows repeat their findings; null keys are kept.
+    ``path`` names the column of the files' paths, whose extensions tell configuration formats; without it, as with null
+    paths and names without extension, the format is told by the text alone. Null, empty and blank texts have none;
+    repeated rows repeat their findings; null keys are kept.
     """
     kind = df.schema[key].dataType.simpleString()
     arrow_key = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
@@ -260,27 +337,30 @@ def credentials(df: DataFrame, key: str = "file_id", text: str = "content") -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                out += [(k, t.count("\n", 0, a) + 1, t[a:b]) for a, b in find_credentials(t)]
+            for k, (t, p) in zip(batch.column(0).to_pylist(), _texts(batch)):
+                line, at = 1, 0
+                for a, b in find_spans(t, p) if t else ():
+                    line, at = line + t.count("\n", at, a), a
+                    out.append((k, line, t[a:b].encode("latin-1").decode("utf-8", "replace")))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (arrow_key, pa.int32(), pa.string()))], names=["_k", "line_no", "secret"])
 
-    rows = df.select(df[key].alias("_k"), df[text].alias("_t")).where(_hinted(F.col("_t")))
+    rows = _rows(df, key, text, path).where(_hinted(F.col("_t")))
     return rows.mapInArrow(run, f"_k {kind}, line_no int, secret string").withColumnRenamed("_k", key)
 
 
-def redact(df: DataFrame, key: str = "file_id", text: str = "content") -> DataFrame:
-    """(``key``, n_secrets, redacted): every row's text with its credentials masked; one without any comes back as it is,
-    and null as null."""
+def redact(df: DataFrame, key: str = "file_id", text: str = "content", path: str | None = None) -> DataFrame:
+    """(``key``, n_secrets, redacted): every row's text with its credentials masked, all other bytes as they were; one
+    without any comes back as it is, and null as null. ``path`` as in ``credentials``."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            spans = [find_credentials(t) for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in spans], pa.int32()), pa.array([masked(t, s) for t, s in zip(texts, spans)], pa.string())], names=["_k", "n_secrets", "redacted"]
-            )
-
-    rows = df.select(df[key].alias("_k"), df[text].alias("_t"))
-    return rows.mapInArrow(run, f"_k {kind}, n_secrets int, redacted string").withColumnRenamed("_k", key)
+            counts, out = [], []
+            for t, p in _texts(batch):
+                spans = find_spans(t, p) if t else []
+                counts.append(len(spans))
+                out.append(None if t is None else masked(t, spans).encode("latin-1"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int32()), pa.array(out, pa.binary()).cast(pa.string())], names=["_k", "n_secrets", "redacted"])
+
+    return _rows(df, key, text, path).mapInArrow(run, f"_k {kind}, n_secrets int, redacted string").withColumnRenamed("_k", key)

@@ -40,11 +40,11 @@ def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return credentials.credentials(table(spark, d, "stored_files")).distinct()
+    return credentials.credentials(table(spark, d, "stored_files"), path="path").distinct()
 
 
 def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return credentials.redact(table(spark, d, "stored_files").dropDuplicates(["file_id"]))
+    return credentials.redact(table(spark, d, "stored_files").dropDuplicates(["file_id"]), path="path")
 
 
 def p6_reasons(spark: SparkSession, d: str) -> DataFrame:
