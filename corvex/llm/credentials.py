@@ -265,9 +265,12 @@ def find_spans(text: str, path: str | None = None) -> list[tuple[int, int]]:
         if at < seen:
             continue
         start = text.rfind("\n", 0, at) + 1
+        start = max(start, text.rfind("\r", start, at) + 1)
         end = text.find("\n", at)
-        end = seen = len(text) if end < 0 else end
-        line = text[start:end].rstrip("\r")
+        end = len(text) if end < 0 else end
+        cut = text.find("\r", at, end)
+        end = seen = end if cut < 0 else cut
+        line = text[start:end]
         for piece_start, piece in _pieces(line):
             whole, off = piece_start + len(piece) == len(line), start + piece_start
             # A value that a window cuts is found from where it begins.
