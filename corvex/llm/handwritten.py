@@ -1,11 +1,14 @@
-"""Files nobody wrote by hand for the repository they lie in: tool output, minified scripts, third-party copies, data.
-
-A file is judged by its name, its path and its text: comment lines that say what it is, and how its lines and characters
-are composed. Third-party copies lose their headers and move; so the distinct lines of the files known to be third-party
-make an inverted index from the hash of a line to the third-party files (by name) that have it; names with the same lines
-are one. What share of a remaining file's lines is found under one name of the index is its containment, counted over all
-lines, across repositories. A name that has t of a file's lines has one of any all but t - 1, so the rarest of these find
-the names to count.
+"""Files nobody wrote by hand for the repository they lie in: third-party copies, tool output, minified scripts, data.
+
+Third-party copies come first. Some tell themselves, by the directory they lie in or a header that names another
+project; others lost their headers and moved. So the distinct lines of those that tell themselves, of all files whatever
+their extension, make an inverted index from the hash of a line to the third-party files (by name) that have it; names
+with the same lines are one. What share of any other file's lines is found under one name is its containment, counted
+over all lines, across repositories. A name that has t of a file's lines has one of any all but t - 1, so the rarest of
+these find the names to count.
+
+What remains is judged by its name, by comment lines that say what it is, and by how its lines and characters are
+composed.
 """
 
 from __future__ import annotations
@@ -30,25 +33,31 @@ LEAST_LINES = 4
 # Directory names that hold other people's code, and name parts of tools' output.
 _VENDOR_DIR = re.compile(r"(?:^|/)(?:_?vendor|vendored|third[-_]?party|3rd[-_]?party|externals?|Godeps|deps|node_modules|bower_components|site-packages|Pods|Carthage|jspm_packages)/", re.I)
 _TOOL_NAME = re.compile(
-    r"""(?ix)(?:\.(?:min|bundle|bundled|pb|gen|g|designer|generated|chunk|prod)\.[^./]+ | _pb2(?:_grpc)?\.[^./]+ | _grpc\.[^./]+ | \.lock | [.-]lock\.(?:json|ya?ml) | \.pb\.[^/]+ )$
+    r"""(?ix)(?:\.(?:min|bundle|bundled|pb|gen|g|designer|generated|chunk|prod)\.[^./]+ | _pb2(?:_grpc)?\.[^./]+ | _grpc\.[^./]+ | [._-]generated\.[^./]+ | \.lock | [.-]lock\.(?:json|ya?ml) | \.pb\.[^/]+ )$
     | ^(?:zz_generated\..+ | package-lock\.json | yarn\.lock | pnpm-lock\.yaml | go\.sum | poetry\.lock | Cargo\.lock | Gemfile\.lock | composer\.lock | npm-shrinkwrap\.json)$"""
 )
+_TOOL_DIR = re.compile(r"(?:^|/)(?:dist|__generated__|bazel-out|\.next|\.nuxt)/", re.I)
 _COMMENT = r"^[\s﻿]*(?:\#+|//+[!/]?|--+|/\*+!?|\*+|<!--+|;+|%+|\"\"\"|''')[ \t]*"
 _GENERATED = re.compile(
     _COMMENT
     + r"""(?:.{0,200}?\bcode\ generated\b.{0,200}?do\ not\ edit | .{0,200}?\bauto(?:matically)?[- ]?generated\b(?!\s+(?:rows?|reports?)) | @generated\b | .{0,80}?\bmachine[- ]generated\b
-    | .{0,80}?\bgenerated\ (?:by|from|with|using)\b.{0,200}?(?:do\ not|don't|never)\ (?:edit|modify|change|touch) | .{0,200}?(?:do\ not|don't)\ (?:edit|modify)[^;\r\n]{0,40}?\bgenerated\b
+    | .{0,80}?\bgenerated\ (?:by|from|with|using)\b.{0,200}?(?:(?:do\ not|don't|never)\ (?:edit|modify|change|touch) | (?:changes|edits|modifications)\b.{0,40}?\b(?:lost|overwritten|discarded))
+    | .{0,200}?(?:do\ not|don't)\ (?:edit|modify)[^;\r\n]{0,40}?\bgenerated\b
     | <auto-?generated> | automatisch\ (?:erzeugt|generiert) | généré\ automatiquement | generado\ automáticamente )""",
     re.I | re.M | re.X,
 )
+# Licences by their public identifiers, which name no project.
+_LICENCES = r"(?:apache|mit|[al]?gpl|bsd|0bsd|mpl|epl|cddl|isc|cc0|cc-by[\w-]*|unlicense|artistic|bsl|busl|eupl|zlib|ms-[pr]l|ofl|python|psf|ruby|w3c|wtfpl|ecl|afl|osl|ncsa|postgresql|openssl|boost|upl|cecill[\w-]*|sspl|elastic|vim|x11|tcl|php|curl|libpng)"
+# A header that names the project a file comes from: what was done to it, whose it is, or under whose terms.
 _THIRD = re.compile(
     _COMMENT
-    + r"""(?:\w[\w.-]*\ v\d[\w.]*\ \|\ \S+\ \|\ )?(?:.{0,80}?\bverbatim\ copy\ of\ (?P<a>[\w.-]+) | vendored\ from\ (?P<b>[\w./-]+)\ at\b | (?:copied|taken|imported)\ from\ upstream\ (?P<c>[\w.-]+)
-    | imported\ third[- ]party\ source:?\ (?P<d>[\w.-]+) | bundled\ (?P<e>[\w.-]+)\ v?\d[\w.]*,?\ see | licensed\ under\ the\ (?P<f>[\w.-]+)\ terms\b | copyright\ \(c\)\ the\ (?P<g>[\w.-]+)\ contributors
-    | SPDX-License-Identifier:\s*(?P<h>[\w.+-]+?)-\d )""",
+    + rf"""(?:\w[\w.-]*\ v\d[\w.]*\ \|\ \S+\ \|\ )?(?:.{{0,80}}?\bverbatim\ copy\ of\ (?P<a>[\w.-]+) | vendored\ from\ (?:https?://)?(?P<b>[\w./@-]+) | (?:copied|taken|imported|adapted)\ from\ (?:upstream\ |https?://)(?P<c>[\w./@-]+)
+    | imported\ third[- ]party\ source:?\ (?P<d>[\w.-]+) | bundled\ (?P<e>[\w.-]+)\ v?\d[\w.]*,?\ see | licensed\ under\ the\ (?P<f>[\w.-]+)\ terms\b | this\ file\ is\ part\ of\ (?:the\ )?(?P<i>[\w.+-]*\w)
+    | (?:portions\ )?(?:copyright\b[\s:]*(?:\(c\)|©)?|\(c\)|©)[\s\d,–-]*(?:by\s+)?(?:the\s+)?(?P<g>\w[\w.-]*)(?:\s+(?:project|library|language))?\s+(?:contributors|authors|developers|maintainers|committers)\b
+    | SPDX-License-Identifier:\s*(?!{_LICENCES}-\d)(?P<h>[\w.+-]+?)-\d )""",
     re.I | re.M | re.X,
 )
-_BANNER = re.compile(r"/\*!\s*[\w.@/-]+\s+v?\d+\.\d")
+_BANNER = re.compile(r"/\*!\s*[\w.@/-]+(?:\s[\w.@/ -]{0,60}?)?\s+v?\d+\.\d")
 _SOURCE_MAP = re.compile(r"[#@]\s*sourceMappingURL=")
 _PEM = re.compile(r"-----BEGIN [A-Z ]+-----.*?-----END [A-Z ]+-----", re.S)
 _RUN = re.compile(r"[A-Za-z0-9+/]{36,}")
@@ -60,7 +69,16 @@ _BREAK = re.compile(r"\r\n|\n|\r")
 
 
 def third_party_names(text: str) -> set[str]:
-    return {next(x for x in m.groups() if x).lower() for m in _THIRD.finditer(text)}
+    """The projects that headers name; of an address the last two parts."""
+    out: set[str] = set()
+    for m in _THIRD.finditer(text):
+        name = next(x for x in m.groups() if x).lower().strip("./-")
+        out.add("/".join([p.removesuffix(".git") for p in name.split("/") if p][-2:]))
+    return out
+
+
+def _own(project: str, *names: str) -> bool:
+    return any(p in names for p in project.split("/"))
 
 
 def composition(text: str) -> str | None:
@@ -91,20 +109,18 @@ def _uniform(lines: list[str], share: float) -> bool:
     return shapes.most_common(1)[0][1] >= share * len(lines)
 
 
-def judge(path: str | None, text: str, owner: str, repository: str) -> tuple[str | None, list[str], str | None]:
-    """Why a file counts as not hand-written for its repository, as far as it tells itself, else None; if that rests on
-    headers alone, the projects they name, and what the file counts as if none of them is another project's."""
+def judge(path: str | None, text: str, owner: str, repository: str) -> tuple[bool, list[str], str | None]:
+    """What a file tells itself: whether it lies among other people's code, the other projects its headers name, and the
+    reason by its name, its comments and its composition."""
     name = (path or "").rpartition("/")[2]
-    if _VENDOR_DIR.search(path or ""):
-        return "third_party", [], None
-    if _TOOL_NAME.search(name) or _GENERATED.search(text):
+    if _TOOL_NAME.search(name) or _TOOL_DIR.search(path or "") or _GENERATED.search(text):
         rest = "tool_output"
-    elif _BANNER.match(text.lstrip("\ufeff \t\r\n")) or _SOURCE_MAP.search(text[-400:]):
+    elif _BANNER.match(text.lstrip("﻿ \t\r\n")) or _SOURCE_MAP.search(text[-400:]):
         rest = "minified"
     else:
         rest = composition(text)
-    projects = third_party_names(text) - {owner.lower(), repository.lower()}
-    return ("third_party", sorted(projects), rest) if projects else (rest, [], None)
+    projects = sorted(p for p in third_party_names(text) if p and not _own(p, owner.lower(), repository.lower()))
+    return bool(_VENDOR_DIR.search(path or "")), projects, rest
 
 
 def line_hashes(text: str) -> np.ndarray:
@@ -129,45 +145,48 @@ def listed(files: DataFrame, config: DataFrame) -> Column:
 
 
 def not_handwritten(files: DataFrame, config: DataFrame, key: str = "file_id") -> DataFrame:
-    """(``key``, reason): the listed files that are tool output, minified, third-party or data.
+    """(``key``, reason): the listed files that are third-party, tool output, minified or data.
 
     ``files`` has ``key``, index_name, path and content. Null, empty and blank contents are judged by name and path
     alone; null paths have no extension and so aren't listed; repeated rows count once, a null key takes no part.
     """
     kind = files.schema[key].dataType.simpleString()
     arrow_key = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    rows = files.where(listed(files, config)).select(files[key].alias("_k"), files["index_name"].alias("_i"), files["path"].alias("_p"), F.coalesce(files["content"], F.lit("")).alias("_t")).where("_k is not null")
+    rows = files.select(files[key].alias("_k"), files["index_name"].alias("_i"), files["path"].alias("_p"), F.coalesce(files["content"], F.lit("")).alias("_t"), listed(files, config).alias("_l")).where("_k is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, ends, lists = [], [0], [np.zeros(0, np.int64)]
-            for k, i, p, t in zip(*(batch.column(j).to_pylist() for j in range(4))):
+            out, lists = [], []
+            for k, i, p, t, asked in zip(*(batch.column(j).to_pylist() for j in range(5))):
                 _, owner, repository = (*(i or "").split("/"), "", "", "")[:3]
-                reason, projects, rest = judge(p, t, owner, repository)
-                # Tool output, minified files and data are settled; third-party files make the index.
-                if reason in (None, "third_party"):
-                    lists.append(line_hashes(t))
-                    ends.append(ends[-1] + len(lists[-1]))
-                else:
-                    ends.append(ends[-1])
-                out.append((k, reason, projects or None, rest, (p or "").rpartition("/")[2].lower()))
+                marked, projects, rest = judge(p, t, owner, repository)
+                lists.append(line_hashes(t))
+                out.append((k, owner.lower(), asked, marked, projects or None, rest, (p or "").rpartition("/")[2].lower()))
             if out:
-                types = (arrow_key, pa.string(), pa.list_(pa.string()), pa.string(), pa.string())
+                types = (arrow_key, pa.string(), pa.bool_(), pa.bool_(), pa.list_(pa.string()), pa.string(), pa.string())
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
                 arrays = [pa.array(c, t) for c, t in zip(zip(*out), types)]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(lists)))], names=["_k", "reason", "projects", "rest", "name", "lines"])
-
-    judged = written(rows.mapInArrow(run, f"_k {kind}, reason string, projects array<string>, rest string, name string, lines array<long>"), "judged")
-    # A header that names the owner of some repository is a project's own line, which its forks keep.
-    owners = files.select(F.lower(F.split_part("index_name", F.lit("/"), F.lit(2))).alias("project")).distinct()
-    others = judged.where("projects is not null").select("_k", F.explode("projects").alias("project")).join(owners, "project", "left_anti").select("_k", F.lit(True).alias("others")).distinct()
-    headed = judged.where("projects is not null").join(others, "_k", "left").withColumn("reason", F.when(F.col("others"), F.col("reason")).otherwise(F.col("rest")))
-    judged = judged.where("projects is null").select("_k", "reason", "name", "lines").unionByName(headed.select("_k", "reason", "name", "lines"))
-    index = written(judged.where("reason = 'third_party'").select("name", F.explode("lines").alias("line")).distinct(), "index")
+                yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(lists)))], names=["_k", "owner", "listed", "marked", "projects", "rest", "name", "lines"])
+
+    schema = f"_k {kind}, owner string, listed boolean, marked boolean, projects array<string>, rest string, name string, lines array<long>"
+    judged = written(rows.mapInArrow(run, schema), "judged")
+
+    # A header that names the owner of some repository is a fork's, if that owner has as much of the file's lines.
+    headed = judged.where("projects is not null and not marked").select("_k", F.size("lines").alias("n"), "lines", F.explode("projects").alias("project"))
+    owners = judged.select("owner").distinct()
+    named = written(headed.withColumn("owner", F.explode(F.split("project", "/"))).join(owners, "owner", "left_semi").distinct(), "named")
+    theirs = judged.where("not marked").join(named.select("owner").distinct(), "owner", "left_semi").select("owner", F.explode("lines").alias("line")).distinct()
+    lines = named.select("_k", "n", "project", "owner", F.explode("lines").alias("line")).distinct()
+    forks = lines.join(theirs, ["owner", "line"], "left_semi").groupBy("_k", "n", "project", "owner").agg(F.count("*").alias("m")).where(f"m >= {CONTAINED} * n")
+    foreign = headed.select("_k", "project").distinct().join(forks.select("_k", "project"), ["_k", "project"], "left_anti").select("_k").distinct()
+
+    told = written(judged.where("marked").select("_k").unionByName(foreign).distinct(), "told")
+    index = written(judged.join(told, "_k", "left_semi").select("name", F.explode("lines").alias("line")).distinct(), "index")
     # Names with the same lines, as of renamed copies, count as one; order does not change a bit_xor.
     alike = index.groupBy("name").agg(F.count("*").alias("c"), F.bit_xor("line").alias("x"), F.bit_xor(F.xxhash64("line")).alias("y")).groupBy("c", "x", "y").agg(F.min("name").alias("name")).select("name")
     index = written(index.join(alike, "name", "left_semi"), "sources")
     names = index.groupBy("line").agg(F.count("*").alias("m"))
-    open_files = judged.where("reason is null").select("_k", F.size("lines").alias("n"), F.explode("lines").alias("line"))
+    open_files = judged.where("listed").join(told, "_k", "left_anti").select("_k", F.size("lines").alias("n"), F.explode("lines").alias("line"))
     least = F.greatest(F.lit(LEAST_LINES), F.ceil(F.expr(f"{CONTAINED} * n")))
     known = open_files.join(names, "line").distinct().withColumn("all", F.count("*").over(Window.partitionBy("_k", "n"))).where(F.col("all") >= least)
     known = written(known.withColumn("r", F.row_number().over(Window.partitionBy("_k", "n").orderBy("m", "line"))), "known")
@@ -175,6 +194,7 @@ def not_handwritten(files: DataFrame, config: DataFrame, key: str = "file_id") -
     # New aliases: both sides come from one table.
     lines = known.select(F.col("_k").alias("_k"), F.col("n").alias("n"), F.col("line").alias("line"))
     held = sought.join(lines, ["_k", "n"]).join(index.select(F.col("name").alias("name"), F.col("line").alias("line")), ["name", "line"], "left_semi").groupBy("_k", "n", "name").agg(F.count("*").alias("m"))
-    copies = held.where(f"m >= {LEAST_LINES} and m >= {CONTAINED} * n").select("_k", F.lit("third_party").alias("reason"))
-    found = judged.where("reason is not null").select("_k", "reason").unionByName(copies)
+    copies = held.where(f"m >= {LEAST_LINES} and m >= {CONTAINED} * n").select("_k")
+    third = told.unionByName(copies).distinct().withColumn("third", F.lit("third_party"))
+    found = judged.where("listed").select("_k", "rest").join(third, "_k", "left").select("_k", F.coalesce("third", "rest").alias("reason")).where("reason is not null")
     return found.groupBy("_k").agg(F.min("reason").alias("reason")).withColumnRenamed("_k", key)
