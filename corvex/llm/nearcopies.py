@@ -1,13 +1,18 @@
 """Groups of texts whose sets of word runs overlap, without comparing every text with every other.
 
 Texts with the same set form a class. Tokens (hashed word runs) have one global order: the rare ones by hash, then the
-frequent ones by rising document frequency. The first ``SHARED`` tokens that two similar sets share lie in the prefixes
-of both, which are that much longer than for one token. If one of the two prefixes has rare tokens alone, these are all
+frequent ones by rising document frequency. The first t tokens that two similar sets share lie in the prefixes of both,
+which are t - 1 longer than for one token. If the prefix of ``SHARED`` shared tokens holds rare tokens alone, these are all
 rare, and both classes meet under each of them: pairs that meet less often aren't candidates. Else one rare token is
-enough, or, if all they share is frequent, two frequent ones: these are indexed as pairs. Candidates are verified exactly.
-
-Frequencies are counted over all texts. Any consistent order gives the same result, so the table of frequent tokens that
-the second pass needs can be bounded: at most ``FREQUENT_TOKENS``, the most frequent ones.
+enough, or, if all they share is frequent, two frequent ones of one class of tokens: the frequent tokens of a prefix that
+holds t = c + 1 shared ones fall into c classes by their hash, two of the shared ones into the same, and only pairs within
+a class are indexed. c grows with the size of the sets, so their keys do not grow with its square: about
+``CLASS`` / 2 for each frequent token. Both sets take the c of the larger one's power of two. Candidates are verified on
+40-bit hashes of their tokens, at a threshold where a chance collision would have to decide.
+
+Frequencies are counted over all texts. The order needs the most frequent tokens alone, at most ``FREQUENT_TOKENS``; any
+consistent order gives the same result. Frequent tokens beyond that number are found by a join, and count as frequent too.
+Keys of many classes are joined in blocks.
 """
 
 from __future__ import annotations
@@ -25,8 +30,10 @@ from corvex.llm.shingle import shingle_sets
 from corvex.shared import written
 
 FREQUENT_DF = 24  # a token in at least so many texts counts as frequent
-FREQUENT_TOKENS = 1 << 17  # at most so many do: what each executor gets is 1 MB
+FREQUENT_TOKENS = 1 << 17  # at most so many are sent to each executor: 1 MB; others that are frequent are joined
 SHARED = 4  # shared tokens that the prefixes are long enough for
+CLASS = 8  # frequent tokens of a prefix that share a class, about
+POSTING = 1000  # classes under one key that are compared in one piece
 BLOOM_BITS = 1 << 23  # of the filter for the texts whose sets are asked for: 1 MB, whatever their number
 BLOCK_BYTES = 1_000_000
 FLUSH_TOKENS = 1_500_000
@@ -68,8 +75,8 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(planes.view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def frequent_tokens(texts: DataFrame, width: int, least_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent tokens (first 32 bits of their hash, ascending) and their order by frequency.
+def frequent_tokens(texts: DataFrame, width: int, least_words: int) -> DataFrame:
+    """(token, df): the frequent tokens (first 32 bits of their hash) and the number of texts that have them.
 
     Counted over all texts: a task sends its tokens as sorted differences by range of the hash, about 2 bytes each, and
     each range, whose size doesn't grow with the corpus as their number does, is merged and counted in one piece.
@@ -101,41 +108,66 @@ def frequent_tokens(texts: DataFrame, width: int, least_words: int) -> tuple[np.
         often = n >= FREQUENT_DF
         return pa.table({"token": tokens[often].astype(np.int64), "df": n[often].astype(np.int64)})
 
-    counted = texts.mapInArrow(count, "part int, tokens binary").groupBy("part").applyInArrow(merge, "token long, df long")
-    top = counted.orderBy(F.desc("df"), "token").limit(FREQUENT_TOKENS).toPandas()  # at most FREQUENT_TOKENS rows
-    token = top["token"].to_numpy(np.uint64)
-    by_token = np.argsort(token)
-    return token[by_token], (len(token) - by_token).astype(np.int64)
+    return written(texts.mapInArrow(count, "part int, tokens binary").groupBy("part").applyInArrow(merge, "token long, df long"), "frequent")
 
 
 def _least(n: int, share: float) -> int:
     return max(1, int(np.ceil(share * n - 1e-9)))
 
 
-def prefix_keys(tokens: np.ndarray, share: float, frequent: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, int, bool]:
-    """What a set is indexed under: the rare tokens of its prefix, and pairs of the frequent ones; how many of these keys
-    are rare tokens; and whether the prefix has rare tokens alone."""
+def levels(n: int, share: float) -> list[int]:
+    """The powers of two below a set's size and those of its larger partners."""
+    return list(range(n.bit_length() - 1, int(n / share + 1e-9).bit_length()))
+
+
+def classes(level: int, share: float) -> int:
+    """Classes of frequent tokens for sets of which the larger has 2^level to 2^(level + 1) tokens; fewer than such sets
+    must share."""
+    least = _least(_least(1 << level, share), share)
+    return max(1, min(int((1 << level) * (1 - share) / CLASS), least - 1))
+
+
+def prefix(tokens: np.ndarray, share: float, frequent: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, int]:
+    """The longest prefix of a set that is needed, in order, and how many of it are rare."""
     n = len(tokens)
     needed = _least(n, share)
-    if n == 1:
-        return tokens, 0, False
-    prefix = n - needed + min(SHARED, needed)
+    shared = max(SHARED, *(classes(x, share) + 1 for x in levels(n, share)))
     high = tokens >> np.uint64(32)
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, high), len(frequent) - 1)
         often = frequent[at] == high
     else:
         often = np.zeros(n, bool)
-    rare = tokens[~often]
-    if len(rare) >= prefix:
-        return rare[:prefix], prefix, True
-    f = tokens[often]
-    # For pairs the prefix that holds two shared tokens will do.
-    f = f[np.lexsort((f, order[at[often]]))][: max(0, n - needed + 2 - len(rare))]
-    i, j = np.triu_indices(len(f), 1)
-    with np.errstate(over="ignore"):
-        pairs = mix(f[i] * np.uint64(0xD6E8FEB86659FD93) + f[j])
-    return np.concatenate([rare, pairs]), len(rare), False
+    rare, f = tokens[~often], tokens[often]
+    most = min(n, n - needed + min(shared, needed))
+    if len(rare) >= most:
+        return rare[:most], most
+    return np.concatenate([rare, f[np.lexsort((f, order[at[often]]))]])[:most] if len(f) else rare, len(rare)
+
+
+def keys_of(head: np.ndarray, rare: np.ndarray, n: int, share: float) -> tuple[np.ndarray, int, bool]:
+    """What a set of n tokens is indexed under, by its prefix and which of that is rare: rare tokens singly, and pairs of
+    frequent ones of a class; how many of these keys are rare tokens; and whether the prefix of SHARED shared tokens has
+    rare tokens alone."""
+    needed = _least(n, share)
+    pure = n - needed + min(SHARED, needed)
+    if rare[:pure].all():
+        return head[:pure], min(pure, len(head)), True
+    singles = head[rare]
+    pairs = [head] if needed < 2 else []  # so small a set may share a single token
+    place = np.arange(len(head))
+    for level in levels(n, share):
+        c = classes(level, share)
+        f = head[~rare & (place < n - needed + c + 1)]
+        kind = (mix(f) % np.uint64(c)).astype(np.int64)
+        by_kind = np.argsort(kind, kind="stable")
+        f, kind = np.sort(f[by_kind]) if c == 1 else f[by_kind], kind[by_kind]
+        for part in np.split(f, np.flatnonzero(np.diff(kind)) + 1) if len(f) else ():
+            part = np.sort(part)
+            i, j = np.triu_indices(len(part), 1)
+            with np.errstate(over="ignore"):
+                pairs.append(mix((part[i] * np.uint64(0xD6E8FEB86659FD93) + part[j]) ^ mix(np.full(len(i), level, np.uint64))))
+    return np.concatenate([singles, *pairs]), len(singles), False
 
 
 def _class(tokens: np.ndarray) -> int:
@@ -151,6 +183,24 @@ def _bloom(keys: DataFrame, key: str) -> np.ndarray:
     return out
 
 
+def _met(a: DataFrame, b: DataFrame, on: list[str], share: float) -> DataFrame:
+    """(cls_a, cls_b, e): classes under one key whose sizes allow them to be similar, and how often they must meet."""
+    n_a, n_b = F.expr("s_a div 4"), F.expr("s_b div 4")
+    fits = (n_a >= share * n_b - 1e-9) & (n_b >= share * n_a - 1e-9)
+    needed = F.least(F.lit(SHARED), F.greatest(F.lit(1), F.ceil(share * F.least(n_a, n_b) - 1e-9)))
+    enough = F.when((F.col("s_a") % 4 > 0) & (F.col("s_b") % 4 > 0), 1).otherwise(needed)
+    return a.join(b, on).where(F.col("cls_a") < F.col("cls_b")).where(fits).select("cls_a", "cls_b", enough.cast("int").alias("e"))
+
+
+def _in_blocks(posted: DataFrame, share: float) -> DataFrame:
+    """The same for keys of ``count`` classes, in blocks of about POSTING of them against each other."""
+    posted = written(posted.withColumn("parts", F.ceil(F.col("count") / POSTING).cast("int")).withColumn("at", F.expr("cast(pmod(xxhash64(cls), parts) as int)")), "crowds")
+    spread = F.explode(F.expr("sequence(0, parts - 1)"))
+    a = posted.select(F.col("cls").alias("cls_a"), "token", F.col("s").alias("s_a"), F.col("at").alias("i"), spread.alias("j"))
+    b = posted.select(F.col("cls").alias("cls_b"), F.col("token").alias("token"), F.col("s").alias("s_b"), spread.alias("i"), F.col("at").alias("j"))
+    return _met(a, b, ["token", "i", "j"], share)
+
+
 def similar_classes(df: DataFrame, key: str, text: str, share: float = 0.7, width: int = 3, least_words: int = 40) -> tuple[DataFrame, DataFrame]:
     """(members, pairs): ``members`` has (``_k``, ``cls``), one row for each text with enough words; ``pairs`` has
     (``cls_a``, ``cls_b``), the classes whose sets share at least ``share`` of all their distinct word runs.
@@ -162,37 +212,74 @@ def similar_classes(df: DataFrame, key: str, text: str, share: float = 0.7, widt
     texts = df.select(df[key].alias("_k"), df[text].alias("_t")).where("_k is not null and _t is not null")
     kind = texts.schema["_k"].dataType.simpleString()
     arrow_key = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    table = spark.sparkContext.broadcast(frequent_tokens(texts, width, least_words))
+    counted = frequent_tokens(texts, width, least_words)
+    top = counted.orderBy(F.desc("df"), "token").limit(FREQUENT_TOKENS).toPandas()  # at most FREQUENT_TOKENS rows
+    token = top["token"].to_numpy(np.uint64)
+    by_token = np.argsort(token)
+    table = spark.sparkContext.broadcast((token[by_token], (len(token) - by_token).astype(np.int64)))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, order = table.value
         for keys, sets in _sets(batches, width, least_words):
-            found = [prefix_keys(s, share, frequent, order) for s in sets]
-            ends = np.concatenate([[0], np.cumsum([len(f) for f, _, _ in found])]).astype(np.int32)
-            tokens = np.concatenate([f for f, _, _ in found]) if found else np.zeros(0, np.uint64)
+            heads = [prefix(s, share, frequent, order) for s in sets]
+            ends = np.concatenate([[0], np.cumsum([len(h) for h, _ in heads])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(keys, arrow_key),
                     pa.array(np.array([_class(s) for s in sets], np.uint64).view(np.int64)),
                     pa.array([len(s) for s in sets], pa.int32()),
-                    pa.array([m for _, m, _ in found], pa.int32()),
-                    pa.array([pure for _, _, pure in found], pa.bool_()),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens.view(np.int64))),
+                    pa.array([m for _, m in heads], pa.int32()),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([h for h, _ in heads]).view(np.int64) if heads else np.zeros(0, np.int64))),
                 ],
-                names=["_k", "cls", "n", "rare", "pure", "keys"],
+                names=["_k", "cls", "n", "rare", "head"],
             )
 
-    indexed = written(texts.mapInArrow(index, f"_k {kind}, cls long, n int, rare int, pure boolean, keys array<long>"), "prefixes")
+    indexed = written(texts.mapInArrow(index, f"_k {kind}, cls long, n int, rare int, head array<long>"), "prefixes")
     members = indexed.select("_k", "cls").distinct()
-    # One number for a posting's size and kind: 2n, and 1 more where a single meeting is enough.
-    posted = indexed.select("cls", "n", "rare", "pure", F.posexplode("keys").alias("i", "token"))
-    posted = posted.select("cls", "token", (F.col("n") * 4 + F.when(F.col("i") >= F.col("rare"), 2).when(F.col("pure"), 0).otherwise(1)).alias("s")).repartition("token").dropDuplicates(["token", "cls"])
-    a, b = posted.toDF("cls_a", "token", "s_a"), posted.toDF("cls_b", "token", "s_b")
-    n_a, n_b = F.expr("s_a div 4"), F.expr("s_b div 4")
-    fits = (n_a >= share * n_b - 1e-9) & (n_b >= share * n_a - 1e-9)
-    needed = F.least(F.lit(SHARED), F.greatest(F.lit(1), F.ceil(share * F.least(n_a, n_b) - 1e-9)))
-    enough = F.when((F.col("s_a") % 4 > 0) & (F.col("s_b") % 4 > 0), 1).otherwise(needed)
-    met = a.join(b, "token").where(F.col("cls_a") < F.col("cls_b")).where(fits).select("cls_a", "cls_b", enough.cast("int").alias("e"))
+    heads = indexed.withColumn("more", F.lit(None).cast("array<long>"))
+    if len(top) == FREQUENT_TOKENS:
+        # The frequent tokens that were not sent: each class that takes one for rare learns of it.
+        others = counted.join(spark.createDataFrame(top[["token"]]), "token", "left_anti")
+        taken = indexed.select("cls", F.explode(F.slice("head", F.lit(1), F.col("rare"))).alias("t")).distinct()
+        taken = taken.withColumn("token", F.shiftrightunsigned("t", 32)).join(others.select("token"), "token", "left_semi")
+        heads = indexed.join(taken.groupBy("cls").agg(F.collect_set("t").alias("more")), "cls", "left")
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, size = [], 0
+            for cls, n, m, head, more in zip(*(batch.column(i) for i in range(5))):
+                tokens = head.values.to_numpy().view(np.uint64)
+                rare = np.arange(len(tokens)) < m.as_py()
+                if more.is_valid:
+                    rare &= ~np.isin(tokens, more.values.to_numpy().view(np.uint64))
+                keys, singles, pure = keys_of(tokens, rare, n.as_py(), share)
+                # One number for a key's size and kind: 4n, and 1 or 2 more where a single meeting is enough.
+                kinds = np.where(np.arange(len(keys)) >= singles, 2, 0 if pure else 1) + 4 * n.as_py()
+                held.append((np.full(len(keys), cls.as_py(), np.int64), keys.view(np.int64), kinds.astype(np.int32)))
+                size += len(keys)
+                if size >= 200_000:
+                    yield posting(held)
+                    held, size = [], 0
+            if held:
+                yield posting(held)
+
+    def posting(held: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([h[i] for h in held])) for i in range(3)], names=["cls", "token", "s"])
+
+    # Copies have the same prefix; a class that comes more than once brings its keys once.
+    posted = heads.select("cls", "n", "rare", "head", "more").mapInArrow(post, "cls long, token long, s int").repartition("token").dropDuplicates(["token", "cls"])
+    columns = ("cls", "token", "s")
+    if len(top) and int(top["df"].max()) > POSTING:
+        crowded = written(posted.groupBy("token").count().where(F.col("count") > POSTING), "crowded")
+        if not crowded.isEmpty():
+            met = _in_blocks(posted.join(crowded, "token"), share)
+            posted = posted.join(crowded, "token", "left_anti").select(*columns)
+        else:
+            met = None
+    else:
+        met = None
+    calm = _met(posted.toDF("cls_a", "token", "s_a"), posted.select(*(F.col(c).alias(c) for c in columns)).toDF("cls_b", "token", "s_b"), ["token"], share)
+    met = calm if met is None else calm.unionByName(met)
     pairs = written(met.groupBy("cls_a", "cls_b").agg(F.count("*").alias("m"), F.min("e").alias("e")).where("m >= e").select("cls_a", "cls_b"), "candidates")
 
     # One text of each class that has a candidate brings its set; a few others that pass the filter do no harm.
