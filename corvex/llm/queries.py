@@ -95,18 +95,40 @@ grouped as (select doc_id, s, sum(case when before is not null and s <= before +
 spans as (select doc_id, min(s)::int as span_start, (max(s) + 200)::int as span_end from grouped group by doc_id, run)
 """
 
-ORACLE = {
-    "p2_found": """
+_SIMILAR = """
 with words as (select distinct file_id, regexp_extract_all(lower(regexp_replace(content, '[^A-Za-z0-9_]', ' ', 'g')), '[a-z0-9_]+') as w from stored_files),
 runs as (select distinct file_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as run from (select file_id, w, unnest(range(1, len(w) - 1)) as i from words where len(w) >= 40)),
 sizes as (select file_id, count(*) as n from runs group by 1),
-both_have as (select a.file_id as file_a, b.file_id as file_b, count(*) as m from runs a join runs b on a.run = b.run and a.file_id < b.file_id group by 1, 2)
-select file_a, file_b from both_have join sizes x on x.file_id = file_a join sizes y on y.file_id = file_b where 10 * m >= 7 * (x.n + y.n - m)""",
+both_have as (select a.file_id as file_a, b.file_id as file_b, count(*) as m from runs a join runs b on a.run = b.run and a.file_id < b.file_id group by 1, 2),
+pairs as (select file_a, file_b from both_have join sizes x on x.file_id = file_a join sizes y on y.file_id = file_b where 10 * m >= 7 * (x.n + y.n - m))"""
+
+ORACLE = {
+    "p2_found": _SIMILAR + " select file_a, file_b from pairs",
     "p10_found": _SHARED + "select doc_id, span_start, span_end from spans",
     "p10_shares": _SHARED
     + """, total as (select doc_id, sum(span_end - span_start)::bigint as n from spans group by 1)
 select d.doc_id, d.n_chars, coalesce(n, 0)::bigint as n_shared, case when d.n_chars > 0 then round(coalesce(n, 0) / d.n_chars, 6) else 0.0 end as share
 from (select distinct doc_id, n_chars from documents) d left join total using (doc_id)""",
+    "p2_groups": _SIMILAR
+    + """, links as (select file_a as a, file_b as b from pairs union all select file_b, file_a from pairs),
+reach as (with recursive r(a, b) as (select distinct file_id, file_id from sizes union select r.a, l.b from r join links l on l.a = r.b) select a, min(b) as least from r group by 1)
+select file_id, least as group_key, (select count(*) from links where a = file_id)::bigint as n_links from sizes join reach on a = file_id""",
+    "p1_pieces": r"""
+with recursive files as (
+  select file_id, content, coalesce(l.max_chars, a.max_chars) as most, case when l.extension is not null then coalesce(l.overlap_chars, 0) else coalesce(a.overlap_chars, 0) end as over
+  from (select distinct on (file_id) file_id, content, lower(regexp_extract(regexp_extract(path, '([^/]*)$', 1), '\.([^.]*)$', 1)) as ext from stored_files) f
+  left join split_limits l on l.extension = f.ext and l.extension <> '*' cross join (select * from split_limits where extension = '*') a),
+long as (select file_id, content, over, most - over as budget from files where length(content) > most),
+marked as (select file_id, content, over, budget, list_aggregate(list_transform(regexp_extract_all(content, '[^\r\n]*(?:\r\n|\n|\r)|[^\r\n]+'), lambda x: case when regexp_full_match(x, '[^\r\n]+') then regexp_replace(regexp_replace(x, '[^ \t]', 'c', 'g'), '[ \t]', 's', 'g')
+  else regexp_replace(regexp_replace(left(x, length(x) - 1), '[^ \t\r]', 'c', 'g'), '[ \t\r]', 's', 'g') || case when regexp_full_match(x, '[ \t]*[\r\n]+') then 'b' else 'l' end end), 'string_agg', '') as cls from long),
+cut(file_id, piece_no, spot, size, kind) as (
+  select file_id, -1, 0, 0, '' from marked
+  union all
+  select file_id, piece_no + 1, from_at, case when rest <= budget then rest when strpos(back, 'b') > 0 then budget - strpos(back, 'b') + 1 when strpos(back, 'l') > 0 then budget - strpos(back, 'l') + 1 when strpos(back, 's') > 0 then budget - strpos(back, 's') + 1 else budget end,
+    case when rest <= budget then 'end' when strpos(back, 'b') > 0 then 'blank_line' when strpos(back, 'l') > 0 then 'line' when strpos(back, 's') > 0 then 'space' else 'none' end
+  from (select c.file_id, piece_no, spot + size as from_at, length(cls) - spot - size as rest, budget, reverse(substr(cls, spot + size + 1, budget)) as back from cut c join marked using (file_id)) where rest > 0)
+select file_id, piece_no::int as piece_no, greatest(0, spot - over)::int as char_start, (spot + size - greatest(0, spot - over))::int as n_chars, kind as boundary_kind, substr(content, greatest(0, spot - over) + 1, spot + size - greatest(0, spot - over)) as piece
+from cut join marked using (file_id) where piece_no >= 0""",
     "p1_found": r"""
 with files as (
   select file_id, content, coalesce(l.max_chars, a.max_chars) as most, coalesce(l.max_chars, a.max_chars) - coalesce(l.overlap_chars, a.overlap_chars) as budget

@@ -72,31 +72,33 @@ def split_texts(df: DataFrame, key: str, text: str, max_chars: Column, overlap:
     rows = _prepared(df, key, text, max_chars, overlap)
     rows = rows.withColumn("_sizes", F.transform("_cuts", lambda p: F.length(p)))
     rows = rows.withColumn("_kinds", F.transform("_cuts", lambda p: F.right(p, F.lit(1)))).drop("_classes", "_cuts", "_pattern")
-    zero = "cast(array() as array<struct<at:int,size:int>>)"
-    rows = rows.withColumn(
-        "_spans",
-        F.expr(f"aggregate(_sizes, named_struct('at', 0, 'all', {zero}), (s, n) -> named_struct('at', s.at + n, 'all', array_append(s.all, named_struct('at', s.at, 'size', n))), s -> s.all)"),
-    )
-    # Parts of GROUP pieces first: cutting each piece from the whole of a very long text would be quadratic.
+    # Offsets by sums over parts of GROUP pieces and over GROUP such parts: no array is copied piece by piece.
+    total = f"transform(sequence(0, (size({{0}}) - 1) div {GROUP}), g -> aggregate(slice({{0}}, g * {GROUP} + 1, {GROUP}), 0, (s, x) -> s + x))"
+    rows = rows.withColumn("_sums", F.expr(total.format("_sizes")))
+    rows = rows.withColumn("_tops", F.expr(total.format("_sums")))
+    before = "aggregate(slice({0}, {1} + 1, {2}), 0, (s, x) -> s + x)"
+    starts = f"{before.format('_tops', '0', f'g div {GROUP}')} + {before.format('_sums', f'(g div {GROUP}) * {GROUP}', f'g % {GROUP}')}"
+    rows = rows.withColumn("_starts", F.expr(f"transform(sequence(0, size(_sums) - 1), g -> {starts})"))
+    # Parts first: cutting each piece from the whole of a very long text would be quadratic.
     parts = rows.select(
         "_k",
         "_over",
-        F.size("_spans").alias("_n"),
+        F.size("_sizes").alias("_n"),
         F.expr(
-            f"""posexplode(transform(sequence(0, (size(_spans) - 1) div {GROUP}), g -> named_struct(
-                'from', greatest(0, _spans[g * {GROUP}].at - _over),
-                'spans', slice(_spans, g * {GROUP} + 1, {GROUP}),
+            f"""posexplode(transform(_starts, (at, g) -> named_struct(
+                'at', at,
+                'from', greatest(0, at - _over),
+                'sizes', slice(_sizes, g * {GROUP} + 1, {GROUP}),
                 'kinds', slice(_kinds, g * {GROUP} + 1, {GROUP}),
-                'text', substring(_t, greatest(0, _spans[g * {GROUP}].at - _over) + 1,
-                    element_at(slice(_spans, g * {GROUP} + 1, {GROUP}), -1).at + element_at(slice(_spans, g * {GROUP} + 1, {GROUP}), -1).size
-                    - greatest(0, _spans[g * {GROUP}].at - _over)))))"""
+                'text', substring(_t, greatest(0, at - _over) + 1, at + _sums[g] - greatest(0, at - _over)))))"""
         ).alias("_g", "_part"),
     )
-    pieces = parts.select("_k", "_over", "_n", "_g", F.col("_part.from").alias("_from"), F.col("_part.text").alias("_text"), F.col("_part.kinds").alias("_kinds"), F.posexplode("_part.spans").alias("_i", "_span"))
-    start = F.greatest(F.lit(0), F.col("_span.at") - F.col("_over"))
-    size = F.col("_span.at") + F.col("_span.size") - start
+    pieces = parts.select("_k", "_over", "_n", "_g", F.col("_part.at").alias("_at"), F.col("_part.from").alias("_from"), F.col("_part.text").alias("_text"), F.col("_part.kinds").alias("_kinds"), F.col("_part.sizes").alias("_sizes"), F.posexplode("_part.sizes").alias("_i", "_size"))
+    own = F.col("_at") + F.expr(before.format("_sizes", "0", "_i"))
+    start = F.greatest(F.lit(0), own - F.col("_over"))
+    size = own + F.col("_size") - start
     number = F.col("_g") * GROUP + F.col("_i")
-    kind = F.expr("case when _g * 64 + _i + 1 = _n then 'end' else element_at(map('b', 'blank_line', 'l', 'line', 's', 'space', 'c', 'none'), _kinds[_i]) end".replace("64", str(GROUP)))
+    kind = F.expr(f"case when _g * {GROUP} + _i + 1 = _n then 'end' else element_at(map('b', 'blank_line', 'l', 'line', 's', 'space', 'c', 'none'), _kinds[_i]) end")
     return pieces.select(
         F.col("_k").alias(key),
         number.cast("int").alias("piece_no"),
