@@ -8,10 +8,13 @@ instants are then joined back to the rows.
 from __future__ import annotations
 
 import hashlib
+import inspect
 import re
+import zoneinfo
 from collections.abc import Iterator
-from datetime import datetime, timedelta, timezone
+from datetime import date, datetime, timedelta
 from functools import lru_cache
+from importlib import resources
 from zoneinfo import ZoneInfo
 
 import pyarrow as pa
@@ -21,9 +24,6 @@ from pyspark.sql import functions as F
 
 from corvex.shared import shared_dir
 
-with open(__file__, "rb") as _own:
-    VERSION = hashlib.sha256(_own.read()).hexdigest()[:12]  # what another parser read is not used
-
 MONTHS = {m: i + 1 for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split())}
 UNIVERSAL = {"z", "utc", "gmt", "ut", "zulu"}
 EPOCH = datetime(1970, 1, 1)
@@ -39,9 +39,14 @@ _NOTATIONS = [
         rf"(?P<n1>\d{{1,2}})(?P<sep>[-/.])(?P<n2>\d{{1,2}})(?P=sep)(?P<y>\d{{4}}),?(?:t|\s+){_CLOCK}{_ZONE}",
         rf"(?:[a-z]+\.?,?\s+)?(?P<d>\d{{1,2}})(?:st|nd|rd|th)?[\s-]+{_MONTH},?[\s-]+(?P<y>\d{{4}}),?\s+{_CLOCK}{_ZONE}",
         rf"(?:[a-z]+\.?,?\s+)?{_MONTH}\s+(?P<d>\d{{1,2}})(?:st|nd|rd|th)?,?\s+(?P<y>\d{{4}}),?\s+{_CLOCK}{_ZONE}",
+        # Of version control, C and the shell: the year comes last, a zone before or after it.
+        rf"(?:[a-z]{{3,9}},?\s+)?{_MONTH}\s+(?P<d>\d{{1,2}})\s+{_CLOCK}\s+(?:(?P<early>[a-z]+(?:[+-]\d+)?)\s+)?(?P<y>\d{{4}})(?![\d:]){_ZONE}",
+        rf"(?P<y>\d{{4}})-?w(?P<week>\d{{2}})-?(?P<weekday>[1-7])(?:t|\s+){_CLOCK}{_ZONE}",
+        rf"(?P<y>\d{{4}})-?(?P<yearday>\d{{3}})(?:t|\s+){_CLOCK}{_ZONE}",
     )
 ]
-_OFFSET = re.compile(r"(?:utc|gmt)?\s*([+-])(\d{2}):?(\d{2})?(?::?(\d{2}))?(?:\s*\(?([a-z]+)\)?)?", re.I | re.A)
+_OFFSET = re.compile(r"(?:utc|gmt)?\s*([+-])(?:(\d{2}):?(\d{2})?(?::?(\d{2}))?|(\d):(\d{2})|(\d))(?:\s*\(?([a-z]+)\)?)?", re.I | re.A)
+_FRACTION = re.compile(r"(\d{9,10})\.(\d+)", re.A)  # seconds since 1970
 _DIGITS = {9: 1_000_000, 10: 1_000_000, 12: 1_000, 13: 1_000, 15: 1, 16: 1}
 
 
@@ -72,6 +77,7 @@ def parse_instant(raw: str | None, zone: str | None, date_order: str | None) ->
     microseconds by their length. Without zone, ``zone`` holds; zone abbreviations are those of ``zone``. A local time
     that occurs twice is the earlier instant, one that is skipped is read with the offset before the change. Null,
     empty, words, impossible or incomplete dates (a date without time too), year 0 and 1 and all-zero values give None.
+    24:00 ends its day, and the 60th second is the first of the next minute, where a leap second may stand.
     """
     text = (raw or "").strip()
     if not text:
@@ -80,30 +86,44 @@ def parse_instant(raw: str | None, zone: str | None, date_order: str | None) ->
         unit = _DIGITS.get(len(text))
         if unit:
             return int(text) * unit or None
+    if m := _FRACTION.fullmatch(text):
+        return (int(m[1]) * 1_000_000 + int(m[2][:6].ljust(6, "0"))) or None
     for notation in _NOTATIONS:
         if m := notation.fullmatch(text):
             break
     else:
         return None
-    g = m.groupdict()
+    g, month, day = m.groupdict(), 1, 1
     if g.get("n1"):
         a, b = int(g["n1"]), int(g["n2"])
         day, month = (b, a) if date_order == "mdy" else (a, b)
-    else:
+    elif g.get("d"):
         month = MONTHS.get(g["mon"].lower(), 0) if g.get("mon") else int(g["m"])
         day = int(g["d"])
-    hour, half = int(g["h"]), (g.get("ap") or "").lower()
+    hour, half, minute, second = int(g["h"]), (g.get("ap") or "").lower(), int(g["mi"]), int(g["s"] or 0)
     if half:
         if not 1 <= hour <= 12:
             return None
         hour = hour % 12 + 12 * (half == "p")
+    fraction = int((g["f"] or "0")[:6].ljust(6, "0"))
+    ends = timedelta(0)
+    if (hour, minute, second, fraction) == (24, 0, 0, 0):
+        hour, ends = 0, timedelta(days=1)
+    elif second == 60 and minute % 15 == 14:  # offsets are multiples of a quarter of an hour
+        second, fraction, ends = 59, 0, timedelta(seconds=1)
     try:
-        local = datetime(int(g["y"]), month, day, hour, int(g["mi"]), int(g["s"] or 0), int((g["f"] or "0")[:6].ljust(6, "0")))
-    except ValueError:
+        local = datetime(int(g["y"]), month, day, hour, minute, second, fraction) + ends
+        if g.get("week"):
+            local = datetime.combine(date.fromisocalendar(int(g["y"]), int(g["week"]), int(g["weekday"])), local.time()) + timedelta(days=ends.days)
+        elif g.get("yearday"):
+            local += timedelta(days=int(g["yearday"]) - 1)
+            if g["yearday"] == "000" or (local - ends).year != int(g["y"]):
+                return None
+    except (ValueError, OverflowError):
         return None
     if local.year <= 1:
         return None
-    offset = _offset((g["zone"] or "").strip(), zone, local)
+    offset = _offset(" ".join(x for x in (g.get("early"), g["zone"]) if x and x.strip()).strip(), zone, local)
     return None if offset is None else (local - EPOCH - offset) // timedelta(microseconds=1)
 
 
@@ -115,7 +135,7 @@ def _offset(said: str, zone: str | None, local: datetime) -> timedelta | None:
     if name.lower() in UNIVERSAL:
         return timedelta(0)
     if m := _OFFSET.fullmatch(name):
-        hours, minutes, seconds = (int(x or 0) for x in m.group(2, 3, 4))
+        hours, minutes, seconds = int(m[2] or m[5] or m[7]), int(m[3] or m[6] or 0), int(m[4] or 0)
         if hours > 18 or minutes > 59 or seconds > 59:
             return None
         return (1 if m[1] == "+" else -1) * timedelta(hours=hours, minutes=minutes, seconds=seconds)
@@ -132,6 +152,27 @@ def _offset(said: str, zone: str | None, local: datetime) -> timedelta | None:
     return _named_offset(zone, name.lower(), local.year)
 
 
+def _version() -> str:
+    """Of the parser's text and of the time zones' data: what another one read is not used. A package shipped as an
+    archive has its text too."""
+    try:
+        zones = resources.files("tzdata").joinpath("zones").read_text()
+    except (ImportError, OSError):
+        zones = ""
+        for folder in zoneinfo.TZPATH:
+            try:
+                with open(f"{folder}/tzdata.zi", encoding="utf-8") as f:
+                    zones = f.readline()
+                    break
+            except OSError:
+                continue
+    own = "".join(inspect.getsource(f) for f in (parse_instant, _offset, _named_offset)) + repr([n.pattern for n in _NOTATIONS]) + _OFFSET.pattern
+    return hashlib.sha256((own + zones).encode()).hexdigest()[:12]
+
+
+VERSION = _version()
+
+
 def _parsed(values: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
