@@ -182,13 +182,22 @@ def _scalar(value) -> str | None:
     return None
 
 
+def _text(rest: dict) -> str:
+    try:
+        return json.dumps(rest, sort_keys=True)  # ASCII alone, so lone surrogates stay readable
+    except RecursionError:
+        return "\"too deep\""
+
+
 def shred(graph: Graph, record: dict) -> Iterator[tuple]:
     """Rows (table, node, parent table, parent node, field, parent key, key, columns) of one record, parents first.
 
     A list of one may be a bare object. A type without key passes its parent's on. Null elements and values that
-    aren't objects (or plain values, where the type has a place for them) give no rows.
+    aren't objects (or plain values, where the type has a place for them) give no rows. Fields that the graph doesn't
+    name are kept as one JSON text, ``rest``, by their path below the row (numbers as their text).
     """
-    layout = {t: [(p, graph.nodes[k]) for p, k in graph.inlined(t)] for t in graph.tables}
+    named = {k: {*n.scalars, *(c.name for c in n.children)} for k, n in graph.nodes.items()}
+    layout = {t: [(p, graph.nodes[k], named[k]) for p, k in graph.inlined(t)] for t in graph.tables}
     todo = [(graph.root, record, "0", None, None, None, None)]
     while todo:
         table, value, node, above, above_node, via, above_key = todo.pop()
@@ -197,8 +206,8 @@ def shred(graph: Graph, record: dict) -> Iterator[tuple]:
             if bare is None or isinstance(value, list) or (value := _scalar(value)) is None:
                 continue
             value = {bare: value}
-        columns, found = {}, {}
-        for path, kind in layout[table]:
+        columns, found, rest = {}, {}, {}
+        for path, kind, known in layout[table]:
             inner = value
             for step in path:
                 inner = inner[0] if isinstance(inner, list) and len(inner) == 1 else inner
@@ -209,6 +218,10 @@ def shred(graph: Graph, record: dict) -> Iterator[tuple]:
                 found[path] = (inner, kind)
                 for s in kind.scalars:
                     columns["_".join((*path, s))] = _scalar(inner.get(s))
+                if not inner.keys() <= known:
+                    rest.update((".".join((*path, f)), inner[f]) for f in inner.keys() - known)
+        if rest:
+            columns["rest"] = _text(rest)
         keys = graph.nodes[table].key
         key = next((columns[k] for k in keys if columns.get(k) is not None), None)
         yield table, node, above, above_node, via, above_key, key, columns
@@ -231,19 +244,25 @@ WEBHOOKS = Graph(
     "event",
     {
         "event": Node(
-            ("ref", "number"),
+            ("ref", "before", "after", "number"),
             (
                 Child("commits", "commit", True),
                 Child("push", "push"),
                 *(Child(x, "request") for x in ("pull_request", "issue", "object_attributes", "pullrequest")),
                 Child("discussions", "comment", True),
+                *(Child(x, "person") for x in ("pusher", "sender", "user", "actor")),
             ),
             ("ref",),
         ),
+        "person": Node(("id", "login", "username", "name", "email", "display_name", "nickname"), (Child("prefs", "prefs"),), ("login", "username", "nickname", "name")),
+        "prefs": Node((), (Child("mail", "mail"),)),
+        "mail": Node(("digest",)),
         "push": Node((), (Child("changes", "change", True),)),
         "change": Node((), (Child("new", "new_ref"), Child("old", "old_ref"), Child("commits", "commit", True)), ("new_name", "old_name")),
-        "new_ref": Node(("name",)),
-        "old_ref": Node(("name",)),
+        "new_ref": Node(("name", "type"), (Child("target", "new_target"),)),
+        "old_ref": Node(("name", "type"), (Child("target", "old_target"),)),
+        "new_target": Node(("hash", "type", "date", "message")),
+        "old_target": Node(("hash", "type", "date", "message")),
         "commit": Node(("id", "hash", "message"), (Child("author", "author"), *_PATHS, Child("files", "change_of_file", True)), ("id", "hash")),
         "author": Node(("name", "email")),
         "path": Node(("path",), (), ("path",), "path"),
@@ -251,7 +270,7 @@ WEBHOOKS = Graph(
         "new_path": Node(("path",)),
         "old_path": Node(("path",)),
         "request": Node(("number", "iid", "id", "title"), (Child("labels", "label", True), Child("review", "review")), ("number", "iid", "id")),
-        "label": Node(("name", "title", "color"), (), ("name", "title"), "name"),
+        "label": Node(("id", "name", "title", "color"), (), ("name", "title"), "name"),
         "review": Node((), (Child("threads", "thread", True),)),
         "thread": Node(("path", "line"), (Child("comments", "comment", True),)),
         "comment": Node(("id", "body"), (Child("replies", "comment", True), Child("notes", "comment", True)), ("id",)),
@@ -338,7 +357,22 @@ def links(rows: DataFrame, key: str = "event_id") -> DataFrame:
     return out.where("kind is not null and parent_key is not null and child_key is not null").distinct()
 
 
+def schema_graph(rows: DataFrame) -> DataFrame:
+    """(tbl, field, mapped, n): the schema graph as the records have it: each table's fields by their path below a row,
+    in how many rows they hold a value, and whether the graph gives them a column (else they are in ``rest``)."""
+    entries = rows.select("tbl", F.explode("cols").alias("field", "value")).where("value is not null and field <> 'rest'").select("tbl", "field", F.lit(True).alias("mapped"))
+    others = rows.where("cols['rest'] is not null").select("tbl", F.explode(F.json_object_keys(F.col("cols")["rest"])).alias("field"), F.lit(False).alias("mapped"))
+    return entries.unionByName(others).groupBy("tbl", "field", "mapped").agg(F.count("*").alias("n"))
+
+
+def orphans(rows: DataFrame, key: str = "event_id") -> DataFrame:
+    """One row: how many rows name a parent row that isn't there; 0 unless something was lost."""
+    there = rows.select(F.col(key).alias("k"), F.col("tbl").alias("t"), F.col("node").alias("n")).distinct()
+    below = rows.where("parent_tbl is not null").select(F.col(key).alias("k"), F.col("parent_tbl").alias("t"), F.col("parent_node").alias("n")).distinct()
+    return below.join(there, ["k", "t", "n"], "left_anti").agg(F.count("*").alias("orphans"))
+
+
 def table_of(rows: DataFrame, name: str, key: str = "event_id", graph: Graph = WEBHOOKS) -> DataFrame:
     """The flat table of one type: surrogates, keys and its inlined columns, repeated events counted once."""
-    columns = [F.col("cols")[c].alias(f"c_{c}") for c in graph.columns(name)]
+    columns = [F.col("cols")[c].alias(f"c_{c}") for c in (*graph.columns(name), "rest")]
     return rows.where(F.col("tbl") == name).select(key, "node", "parent_tbl", "parent_node", "via", "parent_key", "key", *columns).dropDuplicates([key, "node"])

@@ -88,8 +88,8 @@ def test_links(spark):
 
 
 def test_graph_and_deep_json():
-    assert shredding.WEBHOOKS.tables == {"event": "root", "commit": "repeated", "change": "repeated", "path": "repeated", "change_of_file": "repeated", "request": "shared", "label": "repeated", "thread": "repeated", "comment": "recursive"}
-    assert shredding.WEBHOOKS.columns("change") == ["new_name", "old_name"]
+    assert shredding.WEBHOOKS.tables == {"event": "root", "commit": "repeated", "change": "repeated", "path": "repeated", "change_of_file": "repeated", "request": "shared", "label": "repeated", "thread": "repeated", "comment": "recursive", "person": "shared"}
+    assert {"new_name", "old_name", "new_target_hash"} <= set(shredding.WEBHOOKS.columns("change"))
     deep = '{"id":1,"replies":[' * 20_000 + "]}" * 20_000
     value = shredding.read_json('{"number":5,"review":{"threads":[{"comments":[' + deep + "]}]}}")
     assert sum(1 for _ in shredding.shred(shredding.WEBHOOKS, {"pull_request": value})) == 20_003
@@ -97,3 +97,30 @@ def test_graph_and_deep_json():
         assert json.dumps(shredding._deep(text)) == json.dumps(json.loads(text, parse_int=str, parse_float=str)).replace("true", '"true"')
     for text in ("[1,", '{"a"', '{"a":1,}', "[1]]", "", "nul", "[1 2]", None, "NaN"):
         assert shredding.read_json(text) is None
+
+
+def test_fields_outside_the_graph_are_kept(spark):
+    payload = {"ref": "r", "commits": '[{"id": "c1", "odd": {"x": [1]}, "author": {"name": "N", "age": 7}}]', "sender": '{"login": "s", "prefs": {"mail": {"digest": "d", "more": null}}}', "extra": "[1]"}
+    df = spark.createDataFrame([(1, {"provider": "github"}, payload), (2, None, None), (1, {"provider": "github"}, payload)], "event_id long, repository struct<provider:string>, payload map<string,string>")
+    rows = shredding.shred_events(df)
+    assert [(r.key, r.c_author_name, json.loads(r.c_rest)) for r in shredding.table_of(rows, "commit").collect()] == [("c1", "N", {"odd": {"x": ["1"]}, "author.age": "7"})]
+    assert [(r.key, r.c_prefs_mail_digest, r.c_rest) for r in shredding.table_of(rows, "person").collect()] == [("s", "d", '{"prefs.mail.more": null}')]
+    assert {r.event_id: r.c_rest for r in shredding.table_of(rows, "event").collect()} == {1: '{"extra": ["1"]}', 2: None}
+    assert shredding.orphans(rows).first().orphans == 0 and shredding.orphans(rows.where("tbl <> 'event'")).first().orphans > 0
+    fields = {(r.tbl, r.field): (r.mapped, r.n) for r in shredding.schema_graph(rows).collect()}
+    assert fields["commit", "odd"] == (False, 2) and fields["commit", "author_name"] == (True, 2)
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Sat Jun 1 12:30:00 2024 +0000", "2024-06-01T12:30:00"), ("Sat Jun  1 12:30:00 2024", "2024-06-01T10:30:00"), ("Sat Jun 1 12:30:00 UTC 2024", "2024-06-01T12:30:00"), ("Sat Jun 1 12:30:00 CEST 2024", "2024-06-01T10:30:00"),
+        ("2024-06-01T24:00:00Z", "2024-06-02T00:00:00"), ("2024-06-01T23:59:60Z", "2024-06-02T00:00:00"), ("2024-06-01T12:00:00+5:30", "2024-06-01T06:30:00"), ("2024-W22-6T12:00:00Z", "2024-06-01T12:00:00"),
+        ("2024-153T12:00:00Z", "2024-06-01T12:00:00"), ("1717245000.5", "2024-06-01T12:30:00.500000"), ("2024-06-01T24:00:01Z", None), ("2024-06-01T12:10:60Z", None), ("2023-366T00:00:00Z", None), ("2024-W54-1T00:00Z", None), ("2024-000T00:00Z", None),
+    ],
+)
+def test_more_notations(text, want):
+    from datetime import datetime, timedelta
+
+    got = instants.parse_instant(text, "Europe/Berlin", "dmy")
+    assert (got is None and want is None) or (datetime(1970, 1, 1) + timedelta(microseconds=got)).isoformat() == want
