@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+import json
+import os
+from collections.abc import Mapping
+from dataclasses import dataclass, field, fields, replace
 from math import log
 
 from corvex.errors import InvalidConfig
@@ -142,3 +145,68 @@ class EmbedderConfig:
 
     def __post_init__(self) -> None:
         _need(self.preset in PRESETS, f"unknown preset {self.preset}")
+
+    @property
+    def dimension(self) -> int:
+        return PRESETS[self.preset]
+
+
+def probe(embedder, text: str = "test") -> int:
+    """The dimension of an embedder's vectors, from one text; none is an error."""
+    found = embedder([text])
+    _need(len(found) == 1 and len(found[0]) > 0, "the embedder gave no vector")
+    return len(found[0])
+
+
+def _value(kind: str, text: str):
+    """A setting's text as its type."""
+    if kind == "bool":
+        return text == "1" or text.lower() == "true"
+    if kind == "int":
+        return int(text)
+    return tuple(x.strip() for x in text.split(",") if x.strip()) if kind.startswith("tuple") else text
+
+
+def from_environment(base: IndexerConfig | None = None, prefix: str = "CORVEX_", environment: Mapping[str, str] | None = None) -> IndexerConfig:
+    """The settings with those in place that the environment names: ``CORVEX_REPOS_PATH`` and so on; paths may also be
+    named ``CORVEX_STORAGE__REPOS_PATH``."""
+    environment, changes = os.environ if environment is None else environment, {}
+    for f in fields(IndexerConfig):
+        for name in (f"{prefix}STORAGE__{f.name.upper()}", f"{prefix}{f.name.upper()}"):
+            if name in environment:
+                changes[f.name] = _value(str(f.type), environment[name])
+    return replace(base or IndexerConfig(), **changes)
+
+
+def from_file(path: str) -> IndexerConfig:
+    """Settings from a JSON file, or a YAML file of plain ``key: value`` lines and lists; unknown names are an error."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    try:
+        given = _plain_yaml(text) if path.endswith((".yaml", ".yml")) else json.loads(text)
+    except ValueError as e:
+        raise InvalidConfig(f"{path}: {e}") from e
+    given = {**given.pop("indexer", {}), **given} if isinstance(given, dict) else {}
+    known = {f.name: str(f.type) for f in fields(IndexerConfig)}
+    _need(set(given) <= set(known), f"unknown settings {sorted(set(given) - set(known))}")
+    return IndexerConfig(**{k: tuple(v) if isinstance(v, list) else v if not isinstance(v, str) else _value(known[k], v) for k, v in given.items()})
+
+
+def _plain_yaml(text: str) -> dict:
+    try:
+        import yaml
+
+        return yaml.safe_load(text) or {}
+    except ImportError:
+        out: dict = {}
+        key = None
+        for line in text.splitlines():
+            body = line.split(" #")[0].strip()
+            if not body or body.startswith("#"):
+                continue
+            if body.startswith("- ") and key:
+                out[key] = [*(out[key] or []), body[2:].strip(" \"'")]
+            elif ":" in body:
+                key, _, value = (x.strip(" \"'") for x in body.partition(":"))
+                out[key] = value or None
+        return {k: v for k, v in out.items() if v is not None}

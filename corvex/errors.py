@@ -37,3 +37,23 @@ class SignatureError(CorvexError):
 
 class WorkspaceNotFound(CorvexError, KeyError):
     pass
+
+
+class NotFound(CorvexError):
+    pass
+
+
+class AuthenticationFailed(CorvexError):
+    pass
+
+
+class RateLimited(CorvexError):
+    def __init__(self, seconds: int):
+        super().__init__(f"limit reached, wait {seconds} s")
+        self.seconds = seconds
+
+
+class ApiError(CorvexError):
+    def __init__(self, status: int, message: str):
+        super().__init__(f"status {status}: {message}")
+        self.status = status

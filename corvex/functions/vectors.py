@@ -62,16 +62,21 @@ def manhattan(a: Column, b: Column) -> Column:
 _METRICS = {"cosine": cosine, "euclidean": euclidean, "dot": dot_distance, "manhattan": manhattan}
 
 
+def _checked(a: Column, b: Column, value: Column) -> Column:
+    wrong = F.raise_error(F.concat(F.lit("expected dimension "), F.size(a).cast("string"), F.lit(", got "), F.size(b).cast("string"))).cast("double")
+    return F.when(F.size(a) != F.size(b), wrong).otherwise(value)
+
+
 def distance(metric: str, a: Column, b: Column) -> Column:
     """Distance by name. Vectors of different length fail the query; a null vector gives null."""
     if metric not in _METRICS:
         raise InvalidConfig(f"unknown metric {metric}")
-    wrong = F.raise_error(F.concat(F.lit("expected dimension "), F.size(a).cast("string"), F.lit(", got "), F.size(b).cast("string"))).cast("double")
-    return F.when(F.size(a) != F.size(b), wrong).otherwise(_METRICS[metric](a, b))
+    return _checked(a, b, _METRICS[metric](a, b))
 
 
 def squared_distance(metric: str, a: Column, b: Column) -> Column:
-    return squared_euclidean(a, b) if metric == "euclidean" else F.pow(distance(metric, a, b), F.lit(2.0))
+    """The same, squared; without a root for the Euclidean one."""
+    return _checked(a, b, squared_euclidean(a, b)) if metric == "euclidean" else F.pow(distance(metric, a, b), F.lit(2.0))
 
 
 def normalized(a: Column, least: float = 0.0) -> Column:

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from math import ceil, log
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvex.config import GraphConfig
+from corvex.errors import NodeNotFound
 from corvex.functions import vectors as V
+from corvex.plans.knn import distances
+from corvex.shared import written
 
 
 def unit_hash(id: str | Column) -> Column:
@@ -73,14 +78,16 @@ def hub_preserving(edges: DataFrame, most: int, percentile: float = 0.02) -> Dat
 
     Nodes within the cap keep all. The threshold is the degree of the candidate at ``percentile`` of the node's own
     candidates; hubs, by falling degree, take up to a quarter of the places, then come the nearest others, then the
-    hubs that are left.
+    hubs that are left. A percentile of 0 or 1 makes no hubs, so the nearest stay.
     """
     degree = edges.groupBy(F.col("src").alias("dst")).agg(F.count("*").alias("_deg"))
     rows = edges.join(degree, "dst", "left").withColumn("_deg", F.coalesce("_deg", F.lit(0)))
     of, by_degree = Window.partitionBy("src"), Window.partitionBy("src").orderBy(F.desc("_deg"), "dst")
     rows = rows.withColumn("_n", F.count("*").over(of)).withColumn("_i", F.row_number().over(by_degree))
-    at = F.greatest(F.lit(1), F.ceil(F.col("_n") * percentile))
-    rows = rows.withColumn("_least", F.max(F.when(F.col("_i") == at, F.col("_deg"))).over(of)).withColumn("_hub", F.col("_deg") >= F.col("_least"))
+    at = F.ceil(F.col("_n") * percentile)
+    some = (at > 0) & (at < F.col("_n"))  # a percentile of 0 or 1 makes no hubs
+    least = F.max(F.when(some & (F.col("_i") == at), F.col("_deg"))).over(of)
+    rows = rows.withColumn("_least", least).withColumn("_hub", F.coalesce(F.col("_deg") >= F.col("_least"), F.lit(False)))
     hub_rank = F.row_number().over(Window.partitionBy("src", "_hub").orderBy(F.desc("_deg"), "dst"))
     slots = max(most // 4, 1)
     rows = rows.withColumn("_class", F.when(F.col("_hub") & (hub_rank <= slots), 0).when(~F.col("_hub"), 1).otherwise(2))
@@ -107,7 +114,8 @@ def prune(neighbors: Column, config: GraphConfig, filled: Column | int = 0, salt
     """The neighbours that a search step still computes.
 
     global: the more results it has (``filled`` of ef), the fewer; local: a fixed share; proportional: each neighbour
-    with a probability by its degree, decided by a hash, never none. Ratio 0 and empty lists pass unchanged.
+    with a probability by its degree, decided by a hash, and the first alone if that leaves none. Ratio 0 and empty
+    lists pass unchanged.
     """
     if config.prune_ratio == 0:
         return neighbors
@@ -123,7 +131,8 @@ def prune(neighbors: Column, config: GraphConfig, filled: Column | int = 0, salt
         pairs = F.arrays_zip(neighbors.alias("id"), degree.alias("deg"))
         kept = F.filter(pairs, lambda p: unit_hash(F.concat_ws("/", salt.cast("string") if salt is not None else F.lit(""), p["id"].cast("string"))) < p["deg"] / total * keep)
         chosen = F.slice(F.transform(kept, lambda p: p["id"]), F.lit(1), keep)
-        return F.when((total == 0) | (F.size(chosen) == 0), F.slice(neighbors, F.lit(1), keep)).otherwise(chosen)
+        first = F.slice(neighbors, F.lit(1), F.lit(1))
+        return F.when(total == 0, F.slice(neighbors, F.lit(1), keep)).when(F.size(chosen) == 0, first).otherwise(chosen)
     return F.when(n == 0, neighbors).otherwise(F.slice(neighbors, F.lit(1), keep))
 
 
@@ -132,14 +141,20 @@ def entry_point(nodes: DataFrame, id: str = "node_id", level: str = "level") ->
     return nodes.where(F.col(level).isNotNull()).agg(F.min_by(F.struct(id, level), F.struct(-F.col(level), F.col(id))).alias("e")).select(f"e.{id}", f"e.{level}").where(F.col(id).isNotNull())
 
 
-def reachable(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
-    """(node_id, hop): nodes within ``hops`` of the start nodes, with the fewest hops; the visited are anti-joined."""
-    seen = start.select("node_id").distinct().withColumn("hop", F.lit(0))
-    front = seen
-    for h in range(1, hops + 1):
+def reachable(edges: DataFrame, start: DataFrame, hops: int | None = None) -> DataFrame:
+    """(node_id, hop): nodes within ``hops`` of the start nodes (None: as far as the edges go), with the fewest hops.
+
+    The visited are anti-joined; each hop's front is written to the shared folder, so a plan holds one hop.
+    """
+    seen = written(start.select("node_id").where("node_id is not null").distinct().withColumn("hop", F.lit(0)), "hop")
+    front, h = seen, 0
+    while hops is None or h < hops:
+        h += 1
         step = edges.join(front.select(F.col("node_id").alias("src")), "src").select(F.col("dst").alias("node_id")).distinct()
-        front = step.join(seen.select("node_id"), "node_id", "left_anti").withColumn("hop", F.lit(h))
-        seen = seen.unionByName(front)
+        front = written(step.join(seen.select("node_id"), "node_id", "left_anti").withColumn("hop", F.lit(h)), "hop")
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)  # tables, not plans of hops
     return seen
 
 
@@ -150,15 +165,18 @@ def degree_cap(n: int, percentile: float) -> int:
 def offsets(rows: DataFrame, block: int = 4096) -> DataFrame:
     """Adds ``offset``, where a node's neighbours begin in the flat list of all, by node_id.
 
-    Running sums over blocks of ids and within each block: no window goes over the whole graph, only over one row for
-    each block.
+    Running sums in three levels: within blocks of ids, within blocks of blocks, and over the sums of those, of which
+    there is one for each ``block`` squared ids (16 million), so no window goes over the whole graph.
     """
-    rows = rows.withColumn("_b", F.floor(F.col("node_id") / block))
-    sums = rows.groupBy("_b").agg(F.sum("degree").alias("_s"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_at"))
-    inner = Window.partitionBy("_b").orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.join(starts, "_b").withColumn("offset", (F.col("_at") + F.coalesce(F.sum("degree").over(inner), F.lit(0))).cast("long")).drop("_b", "_at")
+    rows = rows.withColumn("_b", F.floor(F.col("node_id") / block)).withColumn("_c", F.floor(F.col("node_id") / (block * block)))
+    sums = rows.groupBy("_c", "_b").agg(F.sum("degree").alias("_s"))
+    tops = sums.groupBy("_c").agg(F.sum("_s").alias("_t"))
+    until = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select("_c", F.coalesce(F.sum("_t").over(until(Window.orderBy("_c"))), F.lit(0)).alias("_top"))
+    mids = sums.select("_c", "_b", F.coalesce(F.sum("_s").over(until(Window.partitionBy("_c").orderBy("_b"))), F.lit(0)).alias("_mid"))
+    inner = F.coalesce(F.sum("degree").over(until(Window.partitionBy("_b").orderBy("node_id"))), F.lit(0))
+    joined = rows.withColumn("_in", inner).join(mids, ["_c", "_b"]).join(tops, "_c")
+    return joined.withColumn("offset", (F.col("_top") + F.col("_mid") + F.col("_in")).cast("long")).drop("_b", "_c", "_top", "_mid", "_in")
 
 
 def neighbors_of(rows: DataFrame, id: int) -> list[int] | None:
@@ -167,6 +185,34 @@ def neighbors_of(rows: DataFrame, id: int) -> list[int] | None:
     return None if row is None else list(row[0])
 
 
+def vectors_of(vectors: DataFrame, ids: DataFrame, id: str = "node_id", vector: str = "vector") -> DataFrame:
+    """(``id``, ``vector``) of the asked nodes; one without a vector is an error, found before anything is computed."""
+    asked = ids.select(id).distinct()
+    have = vectors.where(F.col(vector).isNotNull()).select(id, vector)
+    missing = asked.join(have, id, "left_anti").first()
+    if missing is not None:
+        raise NodeNotFound(missing[0])
+    return have.join(asked, id, "left_semi")
+
+
+def select_diverse(edges: DataFrame, vectors: DataFrame, most: int, metric: str = "cosine", id: str = "node_id", vector: str = "vector") -> DataFrame:
+    """Of each node's candidates (src, dst, dist), nearest first, those nearer to the node than to any one chosen before,
+    up to ``most``: links in different directions. A node's candidates are a bounded list, its group a bounded task."""
+    v = vectors.where(F.col(vector).isNotNull()).select(F.col(id).alias("dst"), F.col(vector).alias("_v"))
+    rows = closest(edges, 8 * most).join(v, "dst")
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["dist", "dst"])
+        x = np.array(pdf["_v"].tolist(), dtype=np.float64)
+        between, kept = distances(metric, x, x), []
+        for i, d in enumerate(pdf["dist"]):
+            if len(kept) < most and all(d < between[i, j] for j in kept):
+                kept.append(i)
+        return pdf.iloc[kept][["src", "dst", "dist"]]
+
+    return rows.groupBy("src").applyInPandas(choose, "src long, dst long, dist double")
+
+
 def with_neighbors(rows: DataFrame, id: int, neighbors: list[int]) -> DataFrame:
     """The graph with one node's list replaced; an unknown node changes nothing."""
     new = F.array(*(F.lit(int(n)) for n in neighbors)).cast("array<bigint>")

@@ -7,6 +7,7 @@ vectors are spread over shards by the hash of their id within their index. A sea
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from hashlib import md5
 from math import ceil, log
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from corvex.config import GraphConfig, HnswConfig
 from corvex.errors import DimensionMismatch, IndexNotBuilt
 from corvex.plans.knn import BLOCK, distances
-from corvex.shared import written
+from corvex.shared import freed, written
 
 SHARD = 4096  # vectors of a shard, about
 
@@ -163,44 +164,62 @@ def search_layered(graph: DataFrame, queries: DataFrame, k: int = 10, ef: int =
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("q_id").orderBy("distance", "id"))).where(f"rank <= {k}")
 
 
-def beam_search(adjacency: DataFrame, vectors: DataFrame, queries: DataFrame, start: int, k: int = 10, config: GraphConfig | None = None, max_steps: int = 64, id: str = "node_id", vector: str = "vector") -> tuple[DataFrame, int]:
+def beam_search(adjacency: DataFrame, vectors: DataFrame | Callable[[DataFrame], DataFrame], queries: DataFrame, start: int | DataFrame, k: int = 10, config: GraphConfig | None = None, id: str = "node_id", vector: str = "vector") -> tuple[DataFrame, int]:
     """Searches a flat graph that stores no vectors, all queries step by step together, and fetches vectors only for
     what a step expands: ((q_id, ``id``, distance, rank), number of vectors fetched).
 
     A step joins each query's nearest unexpanded results to their neighbours, removes the visited by an anti-join,
-    prunes, joins the vectors of what is left, and keeps ef results; it ends when no query has an unexpanded result.
-    State is written to the shared folder each step, so lineage stays short.
+    prunes, joins the vectors of what is left, and keeps ef results; it ends when no query has an unexpanded result, as
+    each result is expanded once. State is written to the shared folder each step, so lineage stays short, and that of
+    the step before is removed; the visited grow by a part for each step, and are merged into one now and then.
+    ``start`` is a node, or a table of nodes in its first column, as of the shards of a graph: all queries begin at all of them.
+    ``vectors`` may be a function that computes the vectors of the asked nodes: from a table (_n) one of (_n, _v).
     """
     config = config or GraphConfig()
     from corvex.functions import vectors as V
 
     ef = max(config.ef_search, k)
     asked = written(queries.where("q_vec is not null").select("q_id", "q_vec"), "asked")
-    have = vectors.where(F.col(vector).isNotNull()).select(F.col(id).alias("_n"), F.col(vector).alias("_v"))
+    if callable(vectors):
+        fetch = vectors
+    else:
+        have = vectors.where(F.col(vector).isNotNull()).select(F.col(id).cast("long").alias("_n"), F.col(vector).alias("_v"))
+        fetch = lambda wanted: have.join(wanted, "_n", "left_semi")
     dist = V.distance(config.metric, F.col("q_vec"), F.col("_v"))
-    entry = have.where(F.col("_n") == start).first()
-    if entry is None:
-        raise IndexNotBuilt(f"entry node {start} has no vector")
-    to_entry = V.distance(config.metric, F.col("q_vec"), V.literal(entry["_v"]))
-    state = written(asked.select("q_id", F.lit(start).cast("long").alias("_n"), to_entry.alias("d"), F.lit(False).alias("done")), "beam")
-    visited, fetched = state.select("q_id", "_n"), state.count()
+    spark = adjacency.sparkSession
+    starts = spark.createDataFrame([(start,)], "_n long") if isinstance(start, int) else start.select(F.col(start.columns[0]).cast("long").alias("_n")).distinct()
+    entries = written(fetch(starts), "entries")
+    if entries.isEmpty():
+        raise IndexNotBuilt(f"entry node {start if isinstance(start, int) else ''} has no vector")
+    near = Window.partitionBy("q_id").orderBy("d", "_n")
+    begun = written(asked.crossJoin(F.broadcast(entries)).select("q_id", "_n", dist.alias("d"), F.lit(False).alias("done")), "beam")  # one entry a shard
+    visited, fetched = [written(begun.select("q_id", "_n"), "visited")], begun.count()
+    state = written(begun.withColumn("_r", F.row_number().over(near)).where(f"_r <= {ef}").drop("_r"), "beam")
+    freed(begun)
     links = adjacency.select(F.col("node_id").alias("_n"), "neighbors")
-    for _ in range(max_steps):
-        near = Window.partitionBy("q_id").orderBy("d", "_n")
+    while True:
         front = state.where("not done").withColumn("_r", F.row_number().over(near)).where(f"_r <= {config.beam_width}").select("q_id", "_n")
         if front.isEmpty():
             break
         filled = state.groupBy("q_id").agg(F.count("*").alias("filled"))
         reached = front.join(links, "_n").join(filled, "q_id").select("q_id", F.explode("neighbors").alias("_n"), "filled").groupBy("q_id", "_n").agg(F.max("filled").alias("filled"))
-        fresh = reached.join(visited, ["q_id", "_n"], "left_anti")
-        visited = written(visited.unionByName(fresh.select("q_id", "_n")), "visited")
+        been = visited[0]
+        for v in visited[1:]:
+            been = been.unionByName(v)
+        fresh = written(reached.join(been, ["q_id", "_n"], "left_anti"), "fresh")
+        visited.append(fresh.select("q_id", "_n"))
         lists = fresh.groupBy("q_id").agg(F.max("filled").alias("filled"), F.array_sort(F.collect_list("_n")).alias("l"))
         wanted = lists.select("q_id", F.explode(prune_list(config)).alias("_n"))
-        found = written(wanted.join(have, "_n").join(asked, "q_id").select("q_id", "_n", dist.alias("d"), F.lit(False).alias("done")), "found")
+        found = written(wanted.join(fetch(wanted.select("_n").distinct()), "_n").join(asked, "q_id").select("q_id", "_n", dist.alias("d"), F.lit(False).alias("done")), "found")
         fetched += found.count()
         expanded = front.select("q_id", "_n", F.lit(True).alias("x"))
         old = state.join(expanded, ["q_id", "_n"], "left").select("q_id", "_n", "d", (F.col("done") | F.coalesce("x", F.lit(False))).alias("done"))
-        state = written(old.unionByName(found).withColumn("_r", F.row_number().over(near)).where(f"_r <= {ef}").drop("_r"), "beam")
+        new = written(old.unionByName(found).withColumn("_r", F.row_number().over(near)).where(f"_r <= {ef}").drop("_r"), "beam")
+        freed(state, found)
+        state = new
+        if len(visited) > 16:
+            merged = been.unionByName(visited[-1])
+            visited = [written(merged, "visited")]
     rank = F.row_number().over(Window.partitionBy("q_id").orderBy("d", "_n"))
     out = state.withColumn("rank", rank).where(f"rank <= {k}").select("q_id", F.col("_n").alias(id), F.col("d").alias("distance"), "rank")
     return out, fetched
@@ -215,7 +234,3 @@ def prune_list(config: GraphConfig):
 def recompute_share(fetched: int, n_queries: int, n_nodes: int) -> float:
     """Vectors fetched for a query, as a share of all."""
     return fetched / max(1, n_queries) / max(1, n_nodes)
-
-
-def shards_for(n: int) -> int:
-    return max(1, ceil(n / SHARD))

@@ -7,6 +7,7 @@ have a size that the settings fix; they alone are broadcast.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from corvex.config import QuantizerConfig
 from corvex.errors import DimensionMismatch, EmptyCollection, IndexNotBuilt
 from corvex.functions import vectors as V
-from corvex.plans.knn import matrix, search
+from corvex.plans.knn import matrix, search, search_batch
 
 SAMPLE = 65_536  # vectors that a codebook is trained on at most, taken by the hash of their id
 
@@ -156,5 +157,18 @@ def two_level(df: DataFrame, codes: DataFrame, codebook: DataFrame, query: Seque
     return search(df.join(F.broadcast(near), id, "left_semi"), query, k, metric, id, vector)  # at most ``rerank`` rows
 
 
+def two_level_batch(df: DataFrame, codes: DataFrame, codebook: DataFrame, queries: DataFrame, config: QuantizerConfig, k: int = 10, share: float = 0.1, metric: str = "cosine", id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(q_id, ``id``, distance, rank): for each stated query the nearest ``share`` of all by code, ranked again exactly.
+
+    The decoded vectors stand for the codes, so one scan in blocks serves all queries; only its survivors' own vectors
+    are joined.
+    """
+    most = max(k, ceil(share * codes.count()))
+    near = search_batch(decode(codes, codebook, id), queries, most, "euclidean", id, "decoded").select("q_id", id)
+    pairs = near.join(df.select(id, F.col(vector).alias("_v")), id).join(queries, "q_id")
+    rows = pairs.select("q_id", id, V.distance(metric, F.col("q_vec"), F.col("_v")).alias("distance"))
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("q_id").orderBy("distance", id))).where(f"rank <= {k}")
+
+
 def reconstruction_error(df: DataFrame, decoded: DataFrame, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     return df.join(decoded, id).select(id, V.euclidean(F.col(vector), F.col("decoded")).alias("error"))

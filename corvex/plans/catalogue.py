@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corvex.config import EXTENSIONS, GraphConfig, HnswConfig, QuantizerConfig
 from corvex.functions import vectors as V
-from corvex.operators import graphs, hnsw, quantizer
+from corvex.operators import flat, graphs, hnsw, quantizer
 from corvex.plans import knn, sync
 from corvex.shared import table, written
 from corvex.sources import corpus, repositories
@@ -247,7 +247,7 @@ def graph_closest(spark, d):
 @query(
     f"""with {_WEIGHTED}, deg as (select src as dst, count(*) as deg from weighted group by 1), c as (select w.*, coalesce(deg, 0) as deg from weighted w left join deg using (dst)),
 r as (select *, count(*) over (partition by src) as n, row_number() over (partition by src order by deg desc, dst) as i from c),
-t as (select *, max(case when i = greatest(1, ceil(n * 0.3)) then deg end) over (partition by src) as least from r), h as (select *, deg >= least as hub from t),
+t as (select *, max(case when ceil(n * 0.3) > 0 and ceil(n * 0.3) < n and i = ceil(n * 0.3) then deg end) over (partition by src) as least from r), h as (select *, coalesce(deg >= least, false) as hub from t),
 k as (select *, case when hub and row_number() over (partition by src, hub order by deg desc, dst) <= 1 then 0 when not hub then 1 else 2 end as class from h),
 p as (select *, row_number() over (partition by src order by class, case when class = 1 then dist else -deg end, dst) as place from k)
 select src, dst, round(dist, 6) as dist from p where n <= 5 or place <= 5"""
@@ -256,7 +256,7 @@ def hub_preserving_prune(spark, d):
     return graphs.hub_preserving(_weighted(spark, d), 5, 0.3).withColumn("dist", _r(F.col("dist")))
 
 
-@query()
+@query(f"with {_EDGES}, deg as (select src as node_id, count(*) as degree from edges group by 1) select node_id, degree from deg where degree >= (select quantile_disc(degree, 0.98) from deg)")
 def hub_nodes(spark, d):
     return graphs.global_hubs(_edges(spark, d), 0.02)
 
@@ -285,7 +285,13 @@ select node_id, l[1:greatest(1, ceil(len(l) * (1 - {"0.5 * " if _kind == "global
         return graphs.adjacency(_edges(spark, d)).select("node_id", graphs.prune(F.col("neighbors"), config, F.lit(32)).alias("kept"))
 
 
-@query()
+@query(
+    f"""with {_EDGES}, deg as (select src as dst, count(*) as deg from edges group by 1), l as (select src, e.dst, coalesce(deg, 0) as deg from edges e left join deg using (dst)),
+w as (select *, sum(deg) over (partition by src) as total, greatest(1, ceil(count(*) over (partition by src) * 0.5)) as keep, row_number() over (partition by src order by dst) as i,
+  (('0x' || substr(md5(src || '/' || dst), 1, 8))::ubigint::bigint + 1) / 4294967297.0 as u from l),
+c as (select *, case when total = 0 then i <= keep else u < deg / total::double * keep end as kept from w), n as (select *, sum(kept::int) over (partition by src order by dst) as place, sum(kept::int) over (partition by src) as n_kept from c)
+select src as node_id, list(dst order by dst) as kept from n where (kept and place <= keep) or (n_kept = 0 and i = 1) group by 1"""
+)
 def prune_proportional(spark, d):
     config = GraphConfig(prune_ratio=0.5, pruning="proportional")
     edges = _edges(spark, d)
@@ -335,6 +341,64 @@ def degree_cap(spark, d):
     return graphs.by_degree(w, graphs.degrees(w).where("degree >= 6"), 6, 3).withColumn("dist", _r(F.col("dist")))
 
 
+# Flat graphs built here; an index of embeddings is a shard, as none has more than 4,096 vectors in these tables.
+_FLAT = GraphConfig(m=8, m0=16, ef_construction=64)
+_KNN_EDGES = """pairs as (select a.vec_id as src, b.vec_id as dst, list_cosine_distance(list_transform(a.embedding, lambda x: x::double), list_transform(b.embedding, lambda x: x::double)) as dist
+  from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id),
+near as (select src, dst, dist from (select *, row_number() over (partition by src order by round(dist, 9), dst) as r from pairs) where r <= 8)"""
+
+
+@query(f"with {_KNN_EDGES} select src, dst, round(dist, 6) as dist from near")
+def graph_nearest_edges(spark, d):
+    return flat.nearest_edges(_vectors(spark, d), _FLAT, index="index_name").withColumn("dist", _r(F.col("dist")))
+
+
+@query(
+    f"""with {_KNN_EDGES}, weighted as (select src, dst, min(dist) as dist from (select * from near union all select dst, src, dist from near) group by 1, 2),
+deg as (select src as dst, count(*) as deg from weighted group by 1), c as (select w.*, coalesce(deg, 0) as deg from weighted w left join deg using (dst)),
+r as (select *, count(*) over (partition by src) as n, row_number() over (partition by src order by deg desc, dst) as i from c),
+t as (select *, max(case when ceil(n * 0.02) > 0 and ceil(n * 0.02) < n and i = ceil(n * 0.02) then deg end) over (partition by src) as least from r), h as (select *, coalesce(deg >= least, false) as hub from t),
+k as (select *, case when hub and row_number() over (partition by src, hub order by deg desc, dst) <= 4 then 0 when not hub then 1 else 2 end as class from h),
+p as (select *, row_number() over (partition by src order by class, case when class = 1 then dist else -deg end, dst) as place from k)
+select src as node_id, list(dst order by dst) as neighbors, count(*)::int as degree from p where n <= 16 or place <= 16 group by 1"""
+)
+def graph_exact(spark, d):
+    """Each index's exact neighbours both ways, capped with hubs kept."""
+    return flat.build_exact(_vectors(spark, d), _FLAT, index="index_name").withColumn("neighbors", F.array_sort("neighbors"))
+
+
+def _flat(spark, d) -> DataFrame:
+    return written(flat.build(_vectors(spark, d), _FLAT, index="index_name"), "flat")
+
+
+@query("select count(*) as n_nodes, count(distinct label) as n_entries, true as within_cap from embeddings")
+def graph_build(spark, d):
+    """Graphs built node by node: one of each index, no list longer than m0."""
+    return _flat(spark, d).agg(F.count("*").alias("n_nodes"), F.count_if("is_entry").alias("n_entries"), (F.max("degree") <= _FLAT.m0).alias("within_cap"))
+
+
+def _enough(recall: DataFrame, n: int) -> DataFrame:
+    return recall.select(F.lit(n).cast("bigint").alias("n_queries"), (F.col("recall") >= 0.9).alias("recall_is_enough"))
+
+
+_ENOUGH = "select count(*) as n_queries, true as recall_is_enough from embeddings where vec_id % 50 = 0"
+
+
+@query(_ENOUGH)
+def graph_build_recall(spark, d):
+    """Searches that begin at every index's entry and fetch vectors only for what they expand, against exact search."""
+    e, graph = _vectors(spark, d), _flat(spark, d)
+    asked = knn.query_set(e)
+    found, _ = hnsw.beam_search(graph, e, asked, flat.entries(graph), 10, GraphConfig(ef_search=96, beam_width=24), id="vec_id", vector="embedding")
+    return _enough(knn.recall(found, knn.search_batch(e, asked)), asked.count())
+
+
+@query(_ENOUGH)
+def hnsw_recall_is_enough(spark, d):
+    e = _vectors(spark, d)
+    return _enough(hnsw_recall(spark, d), knn.query_set(e).count())
+
+
 # Product quantization.
 _PQ = QuantizerConfig(subquantizers=8, centroids=16, iterations=10, seed=1)
 _BOOK = "book as (select s::int as sq, (c - 1)::int as code, list_transform(embedding[s * 8 + 1:s * 8 + 8], lambda x: x::double) as centroid from (select embedding, row_number() over (order by vec_id) as c from embeddings), range(8) t(s) where c <= 16)"
@@ -414,6 +478,27 @@ def two_level_search(spark, d):
     return quantizer.two_level(e, _coded(spark, d), _book(spark, d), _zero(spark, d), _PQ).withColumn("distance", _r(F.col("distance")))
 
 
+@query("select count(*) as n_codes, true as better_than_untrained from embeddings")
+def pq_trained_error(spark, d):
+    """Codes of a trained codebook; their mean error is below that of the first vectors as a codebook."""
+    e = table(spark, d, "embeddings")
+    book = written(quantizer.train(e, _PQ, 64), "book")
+    codes = written(quantizer.encode(e, book, _PQ), "codes")
+    mean = lambda c, b: quantizer.reconstruction_error(e, quantizer.decode(c, b)).agg(F.avg("error")).first()[0]
+    good = mean(codes, book) < mean(_coded(spark, d), _book(spark, d))
+    return codes.agg(F.count("*").alias("n_codes"), F.lit(good).alias("better_than_untrained"))
+
+
+@query(_ENOUGH)
+def two_level_recall(spark, d):
+    """Of 10 neighbours those that a trained codebook brings among its nearest fifth, ranked again exactly."""
+    e = table(spark, d, "embeddings")
+    asked = knn.query_set(e)
+    book = written(quantizer.train(e, QuantizerConfig(subquantizers=8, centroids=64, iterations=10, seed=1), 64), "book")
+    found = quantizer.two_level_batch(e, quantizer.encode(e, book, _PQ), book, asked, _PQ, 10, 0.2)
+    return _enough(knn.recall(found, knn.search_batch(e, asked)), asked.count())
+
+
 # Corpus.
 _EXT = r"regexp_extract(path, '[^/]\.([^./]+)$', 1)"
 _VISIBLE = "not list_contains(list_transform(string_split(path, '/'), lambda p: starts_with(p, '.') or p in ('node_modules', 'target')), true)"
@@ -460,15 +545,12 @@ select q_id, doc_id, round(score, 6) as score from (select *, row_number() over
 )
 def corpus_semantic_search(spark, d):
     """The five documents most similar to each stated one by hashed words."""
-    v = written(corpus.hash_embedding(table(spark, d, "documents")), "words")
-    dense = v.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", F.col("n").cast("double")))).alias("m"))
-    dense = written(dense.select("doc_id", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("v")), "dense")
-    # One more than wanted, as each query finds itself.
-    top = knn.search_batch(dense, knn.query_set(dense, id="doc_id", vector="v"), 40, id="doc_id", vector="v").where("q_id <> doc_id")
+    dense = written(corpus.hashed_counts(table(spark, d, "documents")).where("exists(v, x -> x > 0)"), "dense")
+    # One more than wanted, as each query finds itself; scores that are equal when rounded are ties, by id.
+    top = knn.search_batch(dense, knn.query_set(dense, id="doc_id", vector="v"), 6, id="doc_id", vector="v", digits=9).where("q_id <> doc_id")
     from pyspark.sql import Window
 
-    score = F.round(1 - F.col("distance"), 9)
-    ranked = top.withColumn("r", F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc(score), "doc_id"))).where("r <= 5")
+    ranked = top.withColumn("r", F.row_number().over(Window.partitionBy("q_id").orderBy("distance", "doc_id"))).where("r <= 5")
     return ranked.select("q_id", "doc_id", F.round(1 - F.col("distance"), 6).alias("score"))
 
 
@@ -486,7 +568,7 @@ def repository_urls(spark, d):
 
 
 @query(
-    """select name, repository.provider || '/' || repository.full_name as index_name, '/data/' || repository.provider || '/' || repository.owner || '/' || repository.name || '/index.leann' as index_path,
+    """select name, repository.provider || '/' || repository.full_name as index_name, '/data/' || repository.provider || '/' || repository.owner || '/' || repository.name || '/index.graph' as index_path,
 case when repository.provider = 'gitlab' then replace(repository.clone_url, 'https://', 'https://oauth2:TOK@') else replace(repository.clone_url, 'https://', 'https://TOK@') end as authorized,
 round(size_bytes / 1048576, 2) as megabytes from index_catalog where repository.provider is not null and repository.full_name is not null and repository.owner is not null and repository.name is not null"""
 )
@@ -542,9 +624,9 @@ def repository_branches(spark, d):
     return table(spark, d, "index_catalog").where("repository is not null").select("name", F.col("repository.default_branch").alias("default_branch"), repositories.provider_of(F.col("repository.provider")).alias("provider"))
 
 
-@query("select event_id, event_type, (props::json->>'k')::bigint as k from events where event_type in ('click', 'view')")
+@query("select event_id, event_type, (props::json->>'k')::bigint as k from events")
 def event_fields(spark, d):
-    return table(spark, d, "events").where(F.col("event_type").isin("click", "view")).select("event_id", "event_type", F.from_json("props", "k bigint")["k"].alias("k"))
+    return table(spark, d, "events").select("event_id", "event_type", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
 # Catalogue and sync.

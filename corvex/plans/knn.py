@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvex.errors import DimensionMismatch
+from corvex.config import SearchConfig
+from corvex.errors import DimensionMismatch, InvalidConfig, WorkspaceNotFound
 from corvex.functions import vectors as V
 
 BLOCK = 4096  # queries that one task compares with its vectors
@@ -57,10 +58,11 @@ def distances(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(n == 0, 1.0, 1 - dots / np.where(n == 0, 1, n))
 
 
-def _best(metric: str, qid: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> list[tuple]:
+def _best(metric: str, qid: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, digits: int | None = None) -> list[tuple]:
     out, step = [], max(1, 2_000_000 // max(1, len(ids) * (x.shape[1] if metric == "manhattan" else 1)))
     for i in range(0, len(q), step):
         d = distances(metric, q[i : i + step], x)
+        d = d if digits is None else np.round(d, digits)
         for row, me in zip(d, qid[i : i + step]):
             best = np.lexsort((ids, row))[:k] if len(row) <= 4 * k else _few(row, ids, k)
             out += [(me, int(ids[j]), float(row[j])) for j in best]
@@ -73,13 +75,13 @@ def _few(row: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return near[np.lexsort((ids[near], row[near]))][:k]
 
 
-def search_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", id: str = "vec_id", vector: str = "embedding", groups: Sequence[str] = ()) -> DataFrame:
+def search_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", id: str = "vec_id", vector: str = "embedding", groups: Sequence[str] = (), digits: int | None = None) -> DataFrame:
     """(q_id, *groups, ``id``, distance, rank): for each stated query the k nearest vectors, in each group if any.
 
     Queries and vectors meet block by block, in numpy: a task holds at most BLOCK queries and streams its vectors past
     them, keeping k for each. Up to BLOCK queries go to all executors as one bounded broadcast and the vectors aren't
-    shuffled; more are shuffled against blocks of vectors. ``queries`` has q_id and q_vec. Ties go to the smaller id;
-    null vectors take no part.
+    shuffled; more are shuffled against blocks of vectors. ``queries`` has q_id and q_vec. Ties go to the smaller id,
+    with ``digits`` also those that are equal when rounded; null vectors take no part.
     """
     vectors = vectors.where(F.col(vector).isNotNull() & F.col(id).isNotNull()).select(F.col(id).cast("long").alias("_id"), F.col(vector).alias("_v"), F.concat_ws("\0", *groups).alias("_g"))
     queries = queries.where("q_id is not null and q_vec is not null").select(F.col("q_id").cast("long").alias("q_id"), "q_vec")
@@ -91,7 +93,7 @@ def search_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: st
         return [pa.array(c, t) for c, t in zip(zip(*out) if out else ((),) * 4, types)]
 
     def grouped(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, g: np.ndarray) -> list[tuple]:
-        return [(a, str(name), b, d) for name in np.unique(g) for a, b, d in _best(metric, qid, q, ids[g == name], x[g == name], k)]
+        return [(a, str(name), b, d) for name in np.unique(g) for a, b, d in _best(metric, qid, q, ids[g == name], x[g == name], k, digits)]
 
     schema = "q_id long, _g string, _id long, distance double"
     if n <= BLOCK:
@@ -125,6 +127,17 @@ def search_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: st
     return top.select("q_id", *parts, F.col("_id").alias(id), "distance", "rank")
 
 
+def search_with(vectors: DataFrame, query: Sequence[float], settings: SearchConfig, metric: str = "cosine", id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """``search`` by settings: top_k, min_similarity (for metrics without negative distances), and the vectors too if
+    they are asked for."""
+    if settings.min_similarity is not None and metric == "dot":
+        raise InvalidConfig("min_similarity needs a metric without negative distances")
+    top = search(vectors, query, settings.top_k, metric, id, vector, settings.min_similarity)
+    if not settings.include_vectors:
+        return top
+    return vectors.select(id, F.col(vector).alias("vector")).join(F.broadcast(top), id)  # at most top_k rows
+
+
 def multi_index(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", index: str = "index_name", **options) -> DataFrame:
     """k of each index, tagged with its name, merged to the k nearest of all: (q_id, index, id, distance, rank)."""
     top = search_batch(vectors, queries, k, metric, groups=(index,), **options).drop("rank")
@@ -139,14 +152,17 @@ def in_indexes(vectors: DataFrame, names: Sequence[str], index: str = "index_nam
 
 
 def in_workspace(vectors: DataFrame, workspaces: DataFrame, name: str, index: str = "index_name") -> DataFrame:
-    """The indexes of a workspace's repositories, by a semi-join."""
+    """The indexes of a workspace's repositories, by a semi-join; a missing workspace is an error."""
+    if workspaces.where(F.col("name") == name).isEmpty():
+        raise WorkspaceNotFound(name)
     wanted = workspaces.where(F.col("name") == name).select(F.explode("repositories").alias("r")).select(F.concat_ws("/", "r.provider", "r.full_name").alias(index)).distinct()
     return vectors.join(wanted, index, "left_semi")
 
 
 def hits(results: DataFrame, files: DataFrame, index: str = "index_name", id: str = "vec_id", snippet: int = 200) -> DataFrame:
     """(q_id, score, index, path, snippet): results joined to their files, the best score first."""
-    rows = results.join(files.select(F.col("file_id").alias(id), "path", "content"), id)
+    more = [index] if index not in results.columns else []
+    rows = results.join(files.select(F.col("file_id").alias(id), "path", "content", *more), id)
     return rows.select("q_id", V.service_score(F.col("distance")).alias("score"), F.col(index).alias("index"), "path", F.left("content", F.lit(snippet)).alias("snippet"))
 
 
@@ -167,10 +183,6 @@ def vector_of(vectors: DataFrame, key: int, id: str = "vec_id", vector: str = "e
     return [] if row is None or row[0] is None else list(row[0])
 
 
-def order_by(columns: Sequence[Column | str], k: int, df: DataFrame) -> DataFrame:
-    return df.orderBy(*columns).limit(k)
-
-
 def context(hit_rows: DataFrame, most: int = 5, chars: int = 1000) -> DataFrame:
     """(q_id, context): the best hits of each query as one text for a prompt, each with its place and a cut of its snippet."""
     rank = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("score"), "index", "path"))

@@ -57,21 +57,54 @@ def _workspace(workspaces: DataFrame, name: str) -> None:
         raise WorkspaceNotFound(name)
 
 
-def add_to_workspace(workspaces: DataFrame, name: str, repository: Column) -> DataFrame:
-    """Appends without removing doubles; a missing workspace is an error."""
+def create_workspace(workspaces: DataFrame, name: str, path: str, now: Column | None = None) -> DataFrame:
+    """One more workspace without repositories, in place of one of the same name."""
+    at = F.current_timestamp() if now is None else now
+    kind = workspaces.schema["repositories"].dataType.simpleString()
+    new = workspaces.sparkSession.range(1).select(F.lit(name).alias("name"), F.lit(path).alias("path"), F.array().cast(kind).alias("repositories"), at.alias("created_at"), at.alias("updated_at"))
+    return delete_workspace(workspaces, name).unionByName(new.select(*workspaces.columns))
+
+
+def delete_workspace(workspaces: DataFrame, name: str, must: bool = False) -> DataFrame:
+    if must:
+        _workspace(workspaces, name)
+    return workspaces.where(~F.col("name").eqNullSafe(F.lit(name)))
+
+
+def list_workspaces(workspaces: DataFrame) -> DataFrame:
+    """(name, n_repositories, updated_at)."""
+    return workspaces.select("name", F.size(F.coalesce("repositories", F.array())).alias("n_repositories"), "updated_at")
+
+
+def _changed(workspaces: DataFrame, name: str, repositories: Column, now: Column | None) -> DataFrame:
+    hit, at = F.col("name") == name, F.current_timestamp() if now is None else now
+    out = workspaces.withColumn("repositories", F.when(hit, repositories).otherwise(F.col("repositories")))
+    return out.withColumn("updated_at", F.when(hit, at).otherwise(F.col("updated_at"))) if "updated_at" in workspaces.columns else out
+
+
+def add_to_workspace(workspaces: DataFrame, name: str, repository: Column, now: Column | None = None) -> DataFrame:
+    """Appends without removing doubles, and sets updated_at; a missing workspace is an error."""
     _workspace(workspaces, name)
-    more = F.array_append(F.coalesce("repositories", F.array()), repository)
-    return workspaces.withColumn("repositories", F.when(F.col("name") == name, more).otherwise(F.col("repositories")))
+    return _changed(workspaces, name, F.array_append(F.coalesce("repositories", F.array()), repository), now)
 
 
-def remove_from_workspace(workspaces: DataFrame, name: str, full_name: str) -> DataFrame:
-    """Removes every repository of that full name; none there is an error."""
+def remove_from_workspace(workspaces: DataFrame, name: str, full_name: str, now: Column | None = None) -> DataFrame:
+    """Removes every repository of that full name, and sets updated_at; none there is an error."""
     held = workspaces.where(F.col("name") == name)
     _workspace(workspaces, name)
     if held.where(F.exists("repositories", lambda r: r["full_name"] == full_name)).isEmpty():
         raise WorkspaceNotFound(f"{full_name} in {name}")
-    less = F.filter("repositories", lambda r: ~r["full_name"].eqNullSafe(F.lit(full_name)))
-    return workspaces.withColumn("repositories", F.when(F.col("name") == name, less).otherwise(F.col("repositories")))
+    return _changed(workspaces, name, F.filter("repositories", lambda r: ~r["full_name"].eqNullSafe(F.lit(full_name))), now)
+
+
+#: Kinds of file events that lead to a sync.
+WATCHED = ("create", "modify", "remove")
+
+
+def watched_events(events: DataFrame, root: str, path: str = "path", kind: str = "kind") -> DataFrame:
+    """Adds ``root``, the repository folder of a changed file; other kinds of events and paths outside are left out."""
+    rows = events.where(F.lower(kind).isin(*WATCHED)).withColumn("root", watched_root(F.col(path), root))
+    return rows.where("root is not null")
 
 
 def debounced(events: DataFrame, key: str, at: str, seconds: int) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Explicit schemas of the data model."""
+"""Explicit schemas of what is kept on storage."""
 
 REPOSITORY = (
     "struct<provider:string,owner:string,name:string,full_name:string,clone_url:string,ssh_url:string,default_branch:string,"
@@ -6,11 +6,4 @@ REPOSITORY = (
 )
 INDEX_INFO = f"name string, path string, repository {REPOSITORY}, created_at timestamp, updated_at timestamp, file_count bigint, size_bytes bigint"
 WORKSPACE_INFO = f"name string, path string, repositories array<{REPOSITORY}>, created_at timestamp, updated_at timestamp"
-REPOSITORY_STATE = f"repository {REPOSITORY}, local_path string, last_commit string, last_synced timestamp, indexed boolean, indexed_at timestamp, error string"
-WEBHOOK_EVENT = f"event_type string, repository {REPOSITORY}, ref_name string, before string, after string, payload map<string,string>"
-HIT = "score double, `index` string, path string, snippet string"
-SEARCH_RESULT = "id bigint, score double, vector array<float>, metadata string, text string"
-GRAPH_NODE = "node_id bigint, neighbors array<bigint>, level int, degree int"
-HNSW_NODE = "id bigint, vector array<float>, level int, connections array<array<bigint>>"
-CODEBOOK = "sq int, code int, centroid array<double>"
 INDEX_METADATA = "version int, num_vectors bigint, dimension int, created_at bigint, updated_at bigint, description string"

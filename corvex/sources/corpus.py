@@ -69,6 +69,22 @@ def hash_embedding(files: DataFrame, dim: int = 64, id: str = "doc_id", text: st
     return words.select(id, bucket.alias("bucket")).groupBy(id, "bucket").agg(F.count("*").alias("n"))
 
 
+def hashed_counts(files: DataFrame, dim: int = 64, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(``id``, v): the same counts as a whole vector, without a shuffle; a null text has zeros."""
+    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^a-z0-9]+"), lambda w: w != "")
+    buckets = F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int"))
+    kind = files.schema[id].dataType.simpleString()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(1)
+            rows = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
+            x = np.bincount(rows * dim + lists.flatten().to_numpy(), minlength=b.num_rows * dim).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, dim, dtype=np.int32)), pa.array(x))], names=["_id", "v"])
+
+    return files.select(F.col(id).alias("_id"), buckets.alias("_b")).mapInArrow(count, f"_id {kind}, v array<double>").withColumnRenamed("_id", id)
+
+
 def embed(files: DataFrame, embedder: Callable[[list[str]], np.ndarray], dim: int, id: str = "doc_id", text: str = "text", batch: int = 32) -> DataFrame:
     """(``id``, embedding): any embedder of lists of texts, in batches; every text has a vector, a null one that of ''."""
     kind = files.schema[id].dataType.simpleString()

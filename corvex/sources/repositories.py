@@ -73,8 +73,8 @@ def index_name(provider: Column, full_name: Column) -> Column:
     return F.concat_ws("/", provider, full_name)
 
 
-def index_path(root: str, provider: Column, owner: Column, name: Column) -> Column:
-    return F.concat_ws("/", F.lit(root.rstrip("/")), provider, owner, name, F.lit("index.leann"))
+def index_path(root: str, provider: Column, owner: Column, name: Column, file: str = "index.graph") -> Column:
+    return F.concat_ws("/", F.lit(root.rstrip("/")), provider, owner, name, F.lit(file))
 
 
 def _repository(provider: str, **c: Column) -> Column:
@@ -89,6 +89,14 @@ def _repository(provider: str, **c: Column) -> Column:
     return F.struct(F.lit(provider).alias("provider"), *(filled.get(k, c.get(k, none)).alias(k) for k in order))
 
 
+def from_github(rows: DataFrame) -> DataFrame:
+    r = _repository(
+        "github", owner=F.col("owner.login"), name=F.col("name"), full_name=F.col("full_name"), clone_url=F.col("clone_url"), ssh_url=F.col("ssh_url"),
+        default_branch=F.col("default_branch"), description=F.col("description"), language=F.col("language"), size_kb=F.col("size"), is_private=F.col("private"), topics=F.col("topics"),
+    )
+    return rows.select("record_id", r.alias("r")).select("record_id", "r.*")
+
+
 def from_gitea(rows: DataFrame) -> DataFrame:
     r = _repository(
         "gitea", owner=F.coalesce("owner.login", "owner.username", F.split_part("full_name", F.lit("/"), F.lit(1))), name=F.col("name"), full_name=F.col("full_name"), clone_url=F.col("clone_url"), ssh_url=F.col("ssh_url"),
@@ -114,6 +122,26 @@ def from_bitbucket(rows: DataFrame) -> DataFrame:
     return rows.select("record_id", r.alias("r")).select("record_id", "r.*")
 
 
+#: What the hosts' listings hold of a repository.
+_CODE_HOST = "name string, full_name string, clone_url string, ssh_url string, default_branch string, description string, language string, size bigint, updated_at string, private boolean, topics array<string>, owner struct<login:string,username:string>"
+LISTED = {
+    "github": _CODE_HOST,
+    "gitea": _CODE_HOST,
+    "gitlab": "path string, path_with_namespace string, http_url_to_repo string, ssh_url_to_repo string, default_branch string, description string, last_activity_at string, visibility string, topics array<string>, namespace struct<path:string,full_path:string>, statistics struct<repository_size:bigint>",
+    "bitbucket": "slug string, full_name string, description string, language string, size bigint, updated_on string, is_private boolean, mainbranch struct<name:string>, owner struct<username:string>, workspace struct<slug:string>, links struct<clone:array<struct<name:string,href:string>>>",
+}
+_PROJECTIONS = {"github": from_github, "gitea": from_gitea, "gitlab": from_gitlab, "bitbucket": from_bitbucket}
+
+
+def project(bodies: DataFrame, provider: str, visibility: str | None = None, body: str = "body", id: str = "record_id") -> DataFrame:
+    """Repositories of one host from the JSON of its listing (``id``, ``body``): the host's projection, and only the
+    ``public`` or ``private`` ones if asked, also for hosts whose listings can't be asked so. A body that is no JSON
+    object is left out."""
+    parsed = bodies.select(F.col(id).alias("record_id"), F.from_json(body, LISTED[provider]).alias("_j")).where("_j is not null and coalesce(_j.full_name, '') <> ''" if provider != "gitlab" else "_j is not null and _j.path_with_namespace is not null")
+    rows = _PROJECTIONS[provider](parsed.select("record_id", "_j.*"))
+    return rows if visibility is None else rows.where(F.col("is_private") == (visibility == "private"))
+
+
 def event_kind(event_type: Column) -> Column:
     return F.replace(F.lower(event_type), F.lit(" "), F.lit("_"))
 

@@ -58,20 +58,23 @@ class AnchoredLimit(StatefulProcessor):
 
 
 class RepositoryMachine(StatefulProcessor):
-    """new -> synced -> indexed, with errors: a changed commit clears ``indexed``; needs_reindex if not indexed or failed.
+    """new -> synced -> indexed, with errors: a sync clears the error, and ``indexed`` too if the commit changed;
+    needs_reindex if not indexed or failed. Of one moment, syncs come first, then indexed, then errors.
 
     Input: key, at (seconds), kind (sync, indexed or error), value (commit or message). Output: the state after each batch.
     """
 
+    ORDER = {"sync": 0, "indexed": 1, "error": 2}
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", "last_commit string, indexed boolean, error string")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         commit, indexed, error = self.state.get() if self.state.exists() else (None, False, None)
-        for r in sorted((tuple(x) for pdf in rows for x in pdf[["at", "kind", "value"]].itertuples(index=False)), key=lambda r: (r[0], str(r[1]))):
+        for r in sorted((tuple(x) for pdf in rows for x in pdf[["at", "kind", "value"]].itertuples(index=False)), key=lambda r: (r[0], self.ORDER.get(r[1], 3), str(r[2]))):
             _, kind, value = r
-            if kind == "sync" and value != commit:
-                commit, indexed = value, False
+            if kind == "sync":
+                commit, indexed, error = value, indexed and value == commit, None
             elif kind == "indexed":
                 indexed, error = True, None
             elif kind == "error":
