@@ -58,73 +58,71 @@ def distances(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(n == 0, 1.0, 1 - dots / np.where(n == 0, 1, n))
 
 
-def _best(metric: str, qid: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, digits: int | None = None) -> list[tuple]:
-    out, step = [], max(1, 2_000_000 // max(1, len(ids) * (x.shape[1] if metric == "manhattan" else 1)))
+def _best(metric: str, q: np.ndarray, x: np.ndarray, k: int, digits: int | None = None, ties: int | None = None) -> tuple[np.ndarray, ...]:
+    """(row of q, row of x, order, distance) of the k nearest rows of x to each row of q; ties to the smaller row of x."""
+    out, step = [], max(1, 2_000_000 // max(1, len(x) * (x.shape[1] if metric == "manhattan" else 1)))
     for i in range(0, len(q), step):
         d = distances(metric, q[i : i + step], x)
         d = d if digits is None else np.round(d, digits)
-        for row, me in zip(d, qid[i : i + step]):
-            best = np.lexsort((ids, row))[:k] if len(row) <= 4 * k else _few(row, ids, k)
-            out += [(me, int(ids[j]), float(row[j])) for j in best]
-    return out
+        order = d if ties is None else np.round(d, ties) + 0.0  # no -0.0
+        for j, row in enumerate(order):
+            best = np.argsort(row, kind="stable")[:k] if len(row) <= 4 * k else _few(row, k)
+            out.append((np.full(len(best), i + j), best, row[best], d[j][best]))
+    return tuple(map(np.concatenate, zip(*out))) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
 
 
-def _few(row: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+def _few(row: np.ndarray, k: int) -> np.ndarray:
     edge = np.partition(row, k - 1)[k - 1]
-    near = np.flatnonzero(row <= edge)  # with all that tie with the last
-    return near[np.lexsort((ids[near], row[near]))][:k]
+    near = np.flatnonzero(~(row > edge))  # with all that tie with the last
+    return near[np.argsort(row[near], kind="stable")][:k]
 
 
-def search_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", id: str = "vec_id", vector: str = "embedding", groups: Sequence[str] = (), digits: int | None = None) -> DataFrame:
-    """(q_id, *groups, ``id``, distance, rank): for each stated query the k nearest vectors, in each group if any.
+def search_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", id: str = "vec_id", vector: str = "embedding", tag: str | None = None, digits: int | None = None, ties: int | None = None) -> DataFrame:
+    """(q_id, ``tag`` if any, ``id``, distance, rank): for each stated query the k nearest vectors, each with its tag.
 
     Queries and vectors meet block by block, in numpy: a task holds at most BLOCK queries and streams its vectors past
     them, keeping k for each. Up to BLOCK queries go to all executors as one bounded broadcast and the vectors aren't
     shuffled; more are shuffled against blocks of vectors. ``queries`` has q_id and q_vec. Ties go to the smaller id,
-    with ``digits`` also those that are equal when rounded; null vectors take no part.
+    then to the smaller tag; with ``digits`` distances are rounded first, with ``ties`` those that are equal when
+    rounded tie, and are given unrounded. Null vectors take no part.
     """
-    vectors = vectors.where(F.col(vector).isNotNull() & F.col(id).isNotNull()).select(F.col(id).cast("long").alias("_id"), F.col(vector).alias("_v"), F.concat_ws("\0", *groups).alias("_g"))
+    carried = [F.col(tag).alias("_g")] if tag else []
+    vectors = vectors.where(F.col(vector).isNotNull() & F.col(id).isNotNull()).select(F.col(id).cast("long").alias("_id"), F.col(vector).alias("_v"), *carried)
     queries = queries.where("q_id is not null and q_vec is not null").select(F.col("q_id").cast("long").alias("q_id"), "q_vec")
     n = queries.count()
-    names = ["q_id", "_g", "_id", "distance"]
-    types = (pa.int64(), pa.string(), pa.int64(), pa.float64())
+    fields = "q_id long, _id long, _o double, distance double" + (f", _g {vectors.schema['_g'].dataType.simpleString()}" if tag else "")
+    names = ["q_id", "_id", "_o", "distance", *(["_g"] if tag else [])]
 
-    def pack(out: list[tuple]) -> list[pa.Array]:
-        return [pa.array(c, t) for c, t in zip(zip(*out) if out else ((),) * 4, types)]
+    def nearest(qid: np.ndarray, q: np.ndarray, block: pa.Table) -> pa.Table:
+        block = block.sort_by([(c, "ascending") for c in ("_id", "_g") if c in block.column_names]).combine_chunks()
+        found = _best(metric, q, matrix(block["_v"].combine_chunks()), k, digits, ties) if len(q) and block.num_rows else _best(metric, np.zeros((0, 0)), np.zeros((0, 0)), k)
+        me, them = found[:2]
+        taken = [block[c].take(pa.array(them)) for c in ("_id", "_g") if c in block.column_names]
+        return pa.table([pa.array(qid[me], pa.int64()), taken[0], *map(pa.array, found[2:]), *taken[1:]], names=names)
 
-    def grouped(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, g: np.ndarray) -> list[tuple]:
-        return [(a, str(name), b, d) for name in np.unique(g) for a, b, d in _best(metric, qid, q, ids[g == name], x[g == name], k, digits)]
-
-    schema = "q_id long, _g string, _id long, distance double"
     if n <= BLOCK:
         rows = queries.orderBy("q_id").toArrow().combine_chunks()  # at most BLOCK rows
         held = vectors.sparkSession.sparkContext.broadcast((rows["q_id"].to_numpy(), matrix(rows["q_vec"].combine_chunks()) if n else np.zeros((0, 0))))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            qid, q = held.value
             for batch in batches:
-                if len(q) and batch.num_rows:
-                    yield pa.RecordBatch.from_arrays(pack(grouped(qid, q, batch.column(0).to_numpy(), matrix(batch.column(1)), np.asarray(batch.column(2).to_pylist()))), names=names)
+                yield from nearest(*held.value, pa.Table.from_batches([batch])).to_batches()
 
-        near = vectors.mapInArrow(scan, schema)
+        near = vectors.mapInArrow(scan, fields)
     else:
         qb, vb = ceil(n / BLOCK), max(1, ceil(vectors.count() / (4 * BLOCK)))
         each = lambda key, parts: F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
         spread = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
         left = queries.select("q_id", "q_vec", each("q_id", qb).alias("qb"), spread(vb).alias("vb"))
-        right = vectors.select("_id", "_v", "_g", each("_id", vb).alias("vb"), spread(qb).alias("qb"))
+        right = vectors.select("*", each("_id", vb).alias("vb"), spread(qb).alias("qb"))
 
         def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-            if not a.num_rows or not b.num_rows:
-                return pa.table(pack([]), names=names)
-            q, x = matrix(a["q_vec"].combine_chunks()), matrix(b["_v"].combine_chunks())
-            return pa.table(pack(grouped(a["q_id"].to_numpy(), q, b["_id"].to_numpy(), x, np.asarray(b["_g"].to_pylist()))), names=names)
+            return nearest(a["q_id"].to_numpy(), matrix(a["q_vec"].combine_chunks()) if a.num_rows else np.zeros((0, 0)), b)
 
-        near = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInArrow(meet, schema)
-    rank = F.row_number().over(Window.partitionBy("q_id", "_g").orderBy("distance", "_id"))
+        near = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInArrow(meet, fields)
+    rank = F.row_number().over(Window.partitionBy("q_id").orderBy("_o", "_id", *([F.asc_nulls_last("_g")] if tag else [])))
     top = near.withColumn("rank", rank).where(f"rank <= {k}")
-    parts = [F.split("_g", "\0")[i].alias(g) for i, g in enumerate(groups)]
-    return top.select("q_id", *parts, F.col("_id").alias(id), "distance", "rank")
+    return top.select("q_id", *([F.col("_g").alias(tag)] if tag else []), F.col("_id").alias(id), "distance", "rank")
 
 
 def search_with(vectors: DataFrame, query: Sequence[float], settings: SearchConfig, metric: str = "cosine", id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -139,11 +137,11 @@ def search_with(vectors: DataFrame, query: Sequence[float], settings: SearchConf
 
 
 def multi_index(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", index: str = "index_name", **options) -> DataFrame:
-    """k of each index, tagged with its name, merged to the k nearest of all: (q_id, index, id, distance, rank)."""
-    top = search_batch(vectors, queries, k, metric, groups=(index,), **options).drop("rank")
-    id = options.get("id", "vec_id")
-    rank = F.row_number().over(Window.partitionBy("q_id").orderBy("distance", id, index))
-    return top.withColumn("rank", rank).where(f"rank <= {k}")
+    """k of each index, tagged with its name, merged to the k nearest of all: (q_id, index, id, distance, rank).
+
+    The k nearest of all are among the k of their indexes, so they are the k nearest of all vectors in the same order:
+    no k for each pair of query and index need be held."""
+    return search_batch(vectors, queries, k, metric, tag=index, **options)
 
 
 def in_indexes(vectors: DataFrame, names: Sequence[str], index: str = "index_name") -> DataFrame:
@@ -184,8 +182,9 @@ def vector_of(vectors: DataFrame, key: int, id: str = "vec_id", vector: str = "e
 
 
 def context(hit_rows: DataFrame, most: int = 5, chars: int = 1000) -> DataFrame:
-    """(q_id, context): the best hits of each query as one text for a prompt, each with its place and a cut of its snippet."""
-    rank = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("score"), "index", "path"))
+    """(q_id, context): the best hits of each query as one text for a prompt, each with its place and a cut of its snippet.
+    A hit without index or path comes after those of its score that have one."""
+    rank = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("score"), F.asc_nulls_last("index"), F.asc_nulls_last("path"), "snippet"))
     line = F.concat(F.lit("["), F.coalesce("index", F.lit("")), F.lit("] "), F.coalesce("path", F.lit("")), F.lit("\n"), F.coalesce(F.left("snippet", F.lit(chars)), F.lit("")))
     rows = hit_rows.withColumn("_r", rank).where(F.col("_r") <= most).groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct("_r", line.alias("t")))).alias("l"))
     return rows.select("q_id", F.array_join(F.transform("l", lambda x: x["t"]), "\n\n").alias("context"))
