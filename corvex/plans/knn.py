@@ -158,10 +158,10 @@ def in_workspace(vectors: DataFrame, workspaces: DataFrame, name: str, index: st
 
 
 def hits(results: DataFrame, files: DataFrame, index: str = "index_name", id: str = "vec_id", snippet: int = 200) -> DataFrame:
-    """(q_id, score, index, path, snippet): results joined to their files, the best score first."""
+    """(q_id, score, index, path, snippet): results joined to their files, of which no more than the snippet is moved."""
     more = [index] if index not in results.columns else []
-    rows = results.join(files.select(F.col("file_id").alias(id), "path", "content", *more), id)
-    return rows.select("q_id", V.service_score(F.col("distance")).alias("score"), F.col(index).alias("index"), "path", F.left("content", F.lit(snippet)).alias("snippet"))
+    rows = results.join(files.select(F.col("file_id").alias(id), "path", F.left("content", F.lit(snippet)).alias("snippet"), *more), id)
+    return rows.select("q_id", V.service_score(F.col("distance")).alias("score"), F.col(index).alias("index"), "path", "snippet")
 
 
 def recall(found: DataFrame, truth: DataFrame, id: str = "vec_id") -> DataFrame:
